@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import decontam, quality, sharding, urls
+
+#: Names that put a host on the list of op6.
+LISTED = r"(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)"
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -19,6 +23,71 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(_table(spark, sf_dir, "documents"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    host, _ = urls.host_and_path(F.col("url"))
+    return urls.judge(pages, pages.select(host.alias("key")).filter(F.col("key").rlike(LISTED)).distinct())
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_sharding": op3_sharding,
+    "op6_url_filters": op6_url_filters,
+    "op10_decontamination": op10_decontamination,
 }
+
+_SPACE = r"[\x20\x09-\x0D]+"
+
+#: Buckets of the quantile sketch: exact below 64, then 32 for each power of two.
+ORACLE_SQL["op2_quality_rules"] = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT r, i, array_to_string(list_slice(w, i, i + 7), ' ') AS g FROM t, LATERAL (SELECT unnest(range(1, len(w) - 6)) AS i)),
+dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1),
+cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM dup) GROUP BY r),
+m AS (SELECT t.r, doc_id, lang, source, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars,
+    (len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+    coalesce(cov.n, 0)::BIGINT AS n_repeat_words, (len(t) - len(regexp_replace(t, '\p{{Lu}}', '', 'g')))::BIGINT AS up
+  FROM t LEFT JOIN cov ON t.r = cov.r),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, 1000 * n_symbols // greatest(word_chars, 1) AS symbols, 1000 * n_repeat_words // greatest(n_words, 1) AS repeats,
+    1000 * up // greatest(word_chars, 1) AS shouting, 10 * word_chars // greatest(n_words, 1) AS word_length FROM m),
+v AS (SELECT lang, source, unnest(['symbols', 'repeats', 'shouting', 'word_length']) AS metric, unnest([symbols, repeats, shouting, word_length]) AS x FROM f),
+b AS (SELECT lang, source, metric, 32 * greatest(len(bin(x)) - 6, 0) + (x >> greatest(len(bin(x)) - 6, 0)) AS b FROM v),
+grp AS (SELECT 'own' AS lvl, lang, source, metric, b, count(*) AS n FROM b GROUP BY ALL UNION ALL SELECT 'lang', lang, NULL, metric, b, count(*) FROM b GROUP BY ALL UNION ALL SELECT 'all', NULL, NULL, metric, b, count(*) FROM b GROUP BY ALL),
+cum AS (SELECT *, sum(n) OVER (PARTITION BY lvl, lang, source, metric ORDER BY b) AS c, sum(n) OVER (PARTITION BY lvl, lang, source, metric) AS total FROM grp),
+qb AS (SELECT lvl, lang, source, metric, min(total) AS total, min(CASE WHEN c * 100 >= total * 25 THEN b END) AS b25, min(CASE WHEN c * 100 >= total * 75 THEN b END) AS b75 FROM cum GROUP BY ALL),
+q AS (SELECT lvl, lang, source, metric, total, (b25 - 32 * greatest(b25 // 32 - 1, 0)) << greatest(b25 // 32 - 1, 0)::INTEGER AS q25, (b75 - 32 * greatest(b75 // 32 - 1, 0)) << greatest(b75 // 32 - 1, 0)::INTEGER AS q75 FROM qb),
+pick AS (SELECT o.lang, o.source, o.metric, CASE WHEN o.total >= 200 THEN o.q25 WHEN l.total >= 200 THEN l.q25 ELSE a.q25 END AS q25, CASE WHEN o.total >= 200 THEN o.q75 WHEN l.total >= 200 THEN l.q75 ELSE a.q75 END AS q75
+  FROM q o JOIN q l ON l.lvl = 'lang' AND l.metric = o.metric AND l.lang IS NOT DISTINCT FROM o.lang JOIN q a ON a.lvl = 'all' AND a.metric = o.metric WHERE o.lvl = 'own'),
+fence AS (SELECT lang, source, max(CASE WHEN metric = 'symbols' THEN q75 + 4 * greatest(q75 - q25, 10) END) AS f1, max(CASE WHEN metric = 'repeats' THEN q75 + 4 * greatest(q75 - q25, 75) END) AS f2,
+  max(CASE WHEN metric = 'shouting' THEN q75 + 4 * greatest(q75 - q25, 40) END) AS f3, max(CASE WHEN metric = 'word_length' THEN q75 + 4 * greatest(q75 - q25, 6) END) AS f4 FROM pick GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND symbols <= f1 AND repeats <= f2 AND shouting <= f3 AND word_length <= f4 AS kept, symbols, repeats, shouting, word_length
+FROM f JOIN fence ON f.lang IS NOT DISTINCT FROM fence.lang AND f.source IS NOT DISTINCT FROM fence.source"""
+
+ORACLE_SQL["op6_url_filters"] = rf"""
+WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS raw, coalesce(rest, '') AS rest FROM r),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, len(raw) + 1), '^[^?#]*') AS path FROM h),
+x AS (SELECT *, '.' || host AS dotted, regexp_matches(host, '{LISTED}') AS listed FROM p),
+y AS (SELECT *, CASE WHEN dotted LIKE '%.www.example.com' AND path LIKE '/en/%' THEN 'www.example.com/en/' WHEN dotted LIKE '%.example.com' AND path LIKE '/en/%' THEN 'example.com/en/'
+  WHEN dotted LIKE '%.net' AND path LIKE '/es/%' THEN 'net/es/' WHEN dotted LIKE '%.net' AND path LIKE '/fr/%' THEN 'net/fr/' WHEN dotted LIKE '%.com' AND path LIKE '/%' THEN 'com/' END AS rule FROM x)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL OR listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM y"""
+
+ORACLE_SQL["op10_decontamination"] = rf"""
+WITH i AS (SELECT row_number() OVER () AS ir, item_id, list_filter(regexp_split_to_array(lower(text), '{_SPACE}'), lambda x: x <> '') AS w FROM benchmark),
+iw AS (SELECT ir, item_id, w, least(len(w), 5) AS k FROM i WHERE len(w) > 0),
+ig AS (SELECT DISTINCT ir, item_id, k, array_to_string(list_slice(w, p, p + k - 1), ' ') AS g FROM iw, LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS p)),
+size AS (SELECT ir, count(*) AS n FROM ig GROUP BY ir),
+d AS (SELECT row_number() OVER () AS dr, doc_id, list_filter(regexp_split_to_array(lower(text), '{_SPACE}'), lambda x: x <> '') AS w FROM documents),
+dg AS (SELECT DISTINCT dr, doc_id, k, array_to_string(list_slice(w, p, p + k - 1), ' ') AS g FROM d, (SELECT DISTINCT k FROM iw), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS p)),
+hit AS (SELECT dr, doc_id, ig.ir, item_id, count(*)::BIGINT AS n_shared FROM dg JOIN ig USING (k, g) GROUP BY ALL)
+SELECT doc_id, item_id, n_shared, n::BIGINT AS n_item, n_shared / n AS containment FROM hit JOIN size USING (ir) WHERE 5 * n_shared >= 4 * n"""
