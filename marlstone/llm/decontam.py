@@ -96,7 +96,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item, with the columns they came with."""
-    d, h = fresh(docs, "_id", "_text_hash")
-    bad = materialize(search(docs, items, {d: F.col(doc_id), h: F.xxhash64(F.col(text))}, text, item_id, item_text).select(F.col(d).alias("bad_id"), F.col(h).alias("bad_hash")).distinct(), "leaks")
-    same = F.col(doc_id).eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.col(text)) == F.col("bad_hash"))
+    d, h, bad_id, bad_hash = fresh(docs, "_id", "_text_hash", "_bad_id", "_bad_hash")
+    bad = materialize(search(docs, items, {d: F.col(doc_id), h: F.xxhash64(F.col(text))}, text, item_id, item_text).select(F.col(d).alias(bad_id), F.col(h).alias(bad_hash)).distinct(), "leaks")
+    same = F.col(doc_id).eqNullSafe(F.col(bad_id)) & (F.xxhash64(F.col(text)) == F.col(bad_hash))
     return docs.join(hint_if_small(bad, 200_000), same, "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, quality, sharding, urls
+from . import decontam, quality, sharding, simhash, urls
 
 #: Names that put a host on the list of op6.
 LISTED = r"(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)"
@@ -33,6 +33,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, pages.select(host.alias("key")).filter(F.col("key").rlike(LISTED)).distinct())
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_sharding": op3_sharding,
     "op6_url_filters": op6_url_filters,
+    "op7_simhash": op7_simhash,
     "op10_decontamination": op10_decontamination,
 }
 

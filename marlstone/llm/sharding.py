@@ -101,8 +101,8 @@ def place(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
 
 def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, vnodes: int = VNODES, slack: float = 0.0) -> DataFrame:
     """The rows of ``docs`` with all their columns, and ``shard``, ``slot`` (renamed with a leading ``_`` if taken)."""
-    row, shard, slot = fresh(docs, "_row", "shard", "slot")
+    row, shard, slot, r, k, n = fresh(docs, "_row", "shard", "slot", "_r", "_k", "_n")
     known = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     keyed = known.select(F.col(row).alias("row_"), F.col(doc_id).alias("doc_id"), F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).alias("crc"))
-    placed = assign(keyed, "doc_id", ["doc_id", "crc", "row_"], shards, vnodes, slack).select("row_", F.col("shard").alias("shard_"), F.col("slot").alias("slot_"))
-    return known.join(placed, F.col(row) == F.col("row_")).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("shard_").alias(shard), F.col("slot_").alias(slot))
+    placed = assign(keyed, "doc_id", ["doc_id", "crc", "row_"], shards, vnodes, slack).select(F.col("row_").alias(r), F.col("shard").alias(k), F.col("slot").alias(n))
+    return known.join(placed, F.col(row) == F.col(r)).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(k).alias(shard), F.col(n).alias(slot))
