@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, quality, sharding, simhash, urls
+from . import decontam, quality, secrets, sharding, simhash, urls
 
 #: Names that put a host on the list of op6.
 LISTED = r"(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)"
@@ -37,6 +37,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op6_url_filters": op6_url_filters,
     "op7_simhash": op7_simhash,
+    "op9_secret_scans": op9_secret_scans,
     "op10_decontamination": op10_decontamination,
 }
 
