@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, quality, secrets, sharding, simhash, urls
+from . import decontam, mixing, quality, secrets, sharding, simhash, urls
 
 #: Names that put a host on the list of op6.
 LISTED = r"(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)"
@@ -27,6 +27,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     host, _ = urls.host_and_path(F.col("url"))
@@ -48,6 +52,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_sharding": op3_sharding,
+    "op4_mixing": op4_mixing,
     "op6_url_filters": op6_url_filters,
     "op7_simhash": op7_simhash,
     "op9_secret_scans": op9_secret_scans,
