@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, secrets, sharding, simhash, urls
+from . import decontam, mixing, quality, secrets, sharding, simhash, tokens, urls
+from .shared import scratch
 
+#: The tokenizer's vocabulary of ranks, of the box; not a part of this repository.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Names that put a host on the list of op6.
 LISTED = r"(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)"
 
@@ -19,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.corpus_totals(_table(spark, sf_dir, "documents"), VOCABULARY, scratch(spark, "token-rollup"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
