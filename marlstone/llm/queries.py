@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, secrets, sharding, simhash, tokens, urls
+from . import decontam, mixing, phrases, quality, secrets, sharding, simhash, tokens, urls
 from .shared import scratch
 
 #: The tokenizer's vocabulary of ranks, of the box; not a part of this repository.
@@ -48,6 +48,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.removed(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op6_url_filters": op6_url_filters,
     "op7_simhash": op7_simhash,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scans": op9_secret_scans,
     "op10_decontamination": op10_decontamination,
 }
