@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, phrases, quality, secrets, sharding, simhash, tokens, urls
+from . import decontam, licences, mixing, phrases, quality, secrets, sharding, simhash, tokens, urls
 from .shared import scratch
 
 #: The tokenizer's vocabulary of ranks, of the box; not a part of this repository.
@@ -38,6 +38,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", "lang", "doc_id"))
+    return licences.scan(docs, "doc_id", "path").withColumnRenamed("key", "doc_id")
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     host, _ = urls.host_and_path(F.col("url"))
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
+    "op5_license_scans": op5_license_scans,
     "op6_url_filters": op6_url_filters,
     "op7_simhash": op7_simhash,
     "op8_substring_dedup": op8_substring_dedup,
