@@ -1,23 +1,52 @@
-"""The corpus pipeline: its stages in order, and a run over the documents of a folder."""
+"""The corpus pipeline: its stages in order, and a run over the documents of a folder.
+
+Every stage gets what the one before kept, as a DataFrame with the columns of documents, and gives the same; the last adds
+``shard`` and ``slot``. ``run`` writes each stage's result to the shared folder and reads it again for the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import quality
+from marlstone.llm import decontam, mixing, quality, sharding, simhash
+from marlstone.llm.shared import materialize
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality rules reject."""
     return quality.keep_good(docs)
 
 
-STAGES = [("quality rules", good)]
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    return simhash.one_of_each(docs)
+
+
+def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops documents so that sources meet their target weights."""
+    return mixing.mixed_documents(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deals the documents to shards."""
+    return sharding.shard_documents(docs)
+
+
+STAGES = [("quality rules", good), ("near-duplicates", distinct), ("decontamination", unleaked), ("mixing", mixed), ("sharding", sharded)]
 
+#: Near copies are found by seeded hashes, which SQL has not; tests/llm/test_pipeline.py compares with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, "stage")
     return docs
