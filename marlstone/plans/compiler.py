@@ -53,6 +53,11 @@ def names(e) -> set[tuple]:
     return {x for x in walk(e) if x[0] in ("col", "star", "recno")} if e is not None else set()
 
 
+def plain(column: str) -> str:
+    """A scan's column under the name that the table has for it."""
+    return column.split("_", 1)[1]
+
+
 @dataclass
 class Scope:
     """Which DataFrame column a name means; ``done`` maps expressions that are columns already."""
@@ -77,7 +82,7 @@ class Scope:
         if not own:
             raise CompileError(f"Table not found: {qualifier}")
         count = [n for _, n, _ in own]
-        return [(n if count.count(n) == 1 else f"{a}_{n}", c) for a, n, c in own]
+        return [(plain(c) if count.count(n) == 1 else f"{a}_{plain(c)}", c) for a, n, c in own]
 
     def kind(self, e) -> T.DataType | None:
         if e[0] == "col":
@@ -268,7 +273,7 @@ def select(query: dict, table: Callable[[str, set[str] | None], DataFrame], mode
                 raise CompileError("SELECT * with aggregates")
             items += [(n, ("col", *next((a, m) for a, m, x in s.columns if x == c))) for n, c in s.star(e[1])]
         else:
-            items.append((label or _label(e, len(items)), e))
+            items.append((label or (plain(s.find(e[1], e[2])) if e[0] == "col" else _label(e, len(items))), e))
     labels = {label.upper(): e for label, e in reversed(items)}
     order = []
     for e, up in query["order"]:
@@ -297,8 +302,6 @@ def select(query: dict, table: Callable[[str, set[str] | None], DataFrame], mode
 
 
 def _label(e, i: int) -> str:
-    if e[0] == "col":
-        return e[2]
     if e[0] == "recno":
         return "RECNO"
     if e[0] == "call" and e[1] in AGGREGATES:

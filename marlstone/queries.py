@@ -1,4 +1,8 @@
-"""The registry of named queries, each with SQL that gives the same rows."""
+"""The registry of named queries over Parquet tables, each with SQL for another engine that gives the same rows.
+
+Most are written in the dialect and go through its parser and compiler; changes and historical rules use the DataFrame
+operators directly. Sorted and limited queries have a total order.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +10,201 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .operators import compat
+from .plans import compiler, syntax
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def flagship_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    picked = c.filter((F.col("c_mktsegment") == "BUILDING") & F.upper("c_name").like("CUSTOMER%"))
-    return picked.orderBy(F.upper("c_name"), "c_custkey").limit(25).select("c_custkey", "c_name")
+def run(spark: SparkSession, sf_dir: str, sql: str, mode: str = "ansi") -> DataFrame:
+    """A query in the dialect over the Parquet tables of a folder."""
+    return compiler.select(syntax.parse(sql)["query"], lambda name, _: spark.read.parquet(f"{sf_dir}/{name}.parquet"), mode)
+
+
+def add(name: str, sql: str, oracle: str | None = None, mode: str = "ansi") -> None:
+    QUERIES[name] = lambda spark, sf_dir: run(spark, sf_dir, sql, mode)
+    ORACLE_SQL[name] = oracle or sql
+
+
+def query(oracle: str | None):
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return keep
+
+
+# The flagship: filter, function, expression sort, top n.
+add("flagship_top_n", "SELECT TOP 25 c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND UCASE(c_name) LIKE 'CUSTOMER%' ORDER BY UCASE(c_name), c_custkey",
+    "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND upper(c_name) LIKE 'CUSTOMER%' ORDER BY upper(c_name), c_custkey LIMIT 25")
+
+# Scans and projections.
+add("scan_all", "SELECT * FROM nation")
+add("project_alias", "SELECT n_nationkey AS id, n_name nm, n.n_regionkey AS 'rk' FROM nation n", "SELECT n_nationkey AS id, n_name AS nm, n_regionkey AS rk FROM nation")
+add("project_expr", "SELECT l_orderkey ok, l_linenumber ln, l_extendedprice * (1 - l_discount) net, -l_quantity neg FROM lineitem",
+    "SELECT l_orderkey AS ok, l_linenumber AS ln, l_extendedprice * (1 - l_discount) AS net, -l_quantity AS neg FROM lineitem")
+add("project_constants", "SELECT r_regionkey k, 0 x, '' y, NULL z, 1.5 w, 'it''s' q FROM region", "SELECT r_regionkey AS k, 0 AS x, '' AS y, NULL AS z, 1.5::DOUBLE AS w, 'it''s' AS q FROM region")
+add("project_distinct", "SELECT DISTINCT l_returnflag f, l_linestatus s FROM lineitem", "SELECT DISTINCT l_returnflag AS f, l_linestatus AS s FROM lineitem")
+
+# Predicates.
+_L = "SELECT l_orderkey ok, l_linenumber ln FROM lineitem WHERE "
+_LO = "SELECT l_orderkey AS ok, l_linenumber AS ln FROM lineitem WHERE "
+for _name, _where in {
+    "filter_cmp": "l_quantity < 5 AND l_discount >= 0.05 AND l_linenumber <> 3", "filter_and_or_not": "(l_quantity = 1 OR l_quantity = 50) AND NOT (l_returnflag = 'N')",
+    "filter_between": "l_quantity BETWEEN 10 AND 12", "filter_not_between": "l_quantity NOT BETWEEN 3 AND 49", "filter_in": "l_linenumber IN (1, 7)", "filter_not_in": "l_returnflag NOT IN ('N', 'R')",
+    "filter_arith": "l_quantity * 2 + 1 > 99 AND l_extendedprice / l_quantity > 1000",
+}.items():
+    add(_name, _L + _where, _LO + _where)
+add("filter_is_null", "SELECT o_orderkey k FROM orders WHERE o_orderpriority IS NOT NULL AND NOT o_orderstatus IS NULL", "SELECT o_orderkey AS k FROM orders WHERE o_orderpriority IS NOT NULL AND NOT o_orderstatus IS NULL")
+add("filter_like", "SELECT p_partkey k, p_type t FROM part WHERE p_type LIKE '%A_%' AND p_name LIKE 'P%'", "SELECT p_partkey AS k, p_type AS t FROM part WHERE p_type LIKE '%A_%' AND p_name LIKE 'P%'")
+add("filter_not_like", "SELECT p_partkey k FROM part WHERE p_brand NOT LIKE 'Brand#1%'", "SELECT p_partkey AS k FROM part WHERE p_brand NOT LIKE 'Brand#1%'")
+add("filter_date_literal", "SELECT o_orderkey k FROM orders WHERE o_orderdate >= #1996-01-01# AND o_orderdate < #1/1/1997#", "SELECT o_orderkey AS k FROM orders WHERE o_orderdate::DATE >= DATE '1996-01-01' AND o_orderdate::DATE < DATE '1997-01-01'")
+
+# Joins.
+add("join_inner", "SELECT o.o_orderkey k, c.c_name n FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey", "SELECT o_orderkey AS k, c_name AS n FROM orders JOIN customer ON o_custkey = c_custkey")
+add("join_left", "SELECT c.c_custkey k, o.o_orderkey o FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey", "SELECT c_custkey AS k, o_orderkey AS o FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
+add("join_right", "SELECT s.s_suppkey s, n.n_name n FROM supplier s RIGHT OUTER JOIN nation n ON s.s_nationkey = n.n_nationkey", "SELECT s_suppkey AS s, n_name AS n FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey")
+add("join_full", "SELECT s.s_suppkey s, c.c_custkey c FROM supplier s FULL JOIN customer c ON s.s_suppkey = c.c_custkey", "SELECT s_suppkey AS s, c_custkey AS c FROM supplier FULL JOIN customer ON s_suppkey = c_custkey")
+add("join_multi", "SELECT r.r_name r, COUNT(*) n, ROUND(SUM(o.o_totalprice), 2) t FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name",
+    "SELECT r_name AS r, count(*) AS n, round(sum(o_totalprice), 2) AS t FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+add("join_self", "SELECT a.n_name a, b.n_name b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey < b.n_nationkey", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey < b.n_nationkey")
+add("join_composite_key", "SELECT a.l_orderkey k, a.l_linenumber n, b.l_quantity q FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber", "SELECT a.l_orderkey AS k, a.l_linenumber AS n, b.l_quantity AS q FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber")
+add("join_filter_after", "SELECT c.c_custkey k, o.o_orderkey o FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NULL OR o.o_totalprice > 300000", "SELECT c_custkey AS k, o_orderkey AS o FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL OR o_totalprice > 300000")
+add("join_parenthesised_tree", "SELECT l.l_orderkey k, l.l_linenumber n, a.n_name sn, b.n_name cn FROM ((((lineitem l LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey) LEFT JOIN nation a ON s.s_nationkey = a.n_nationkey) LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey) LEFT JOIN customer c ON o.o_custkey = c.c_custkey) LEFT JOIN nation b ON c.c_nationkey = b.n_nationkey WHERE l.l_quantity > 45",
+    "SELECT l_orderkey AS k, l_linenumber AS n, a.n_name AS sn, b.n_name AS cn FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation a ON s_nationkey = a.n_nationkey LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation b ON c_nationkey = b.n_nationkey WHERE l_quantity > 45")
+
+# Aggregates.
+add("agg_global", "SELECT COUNT(*) n, ROUND(SUM(l_quantity), 2) q, MIN(l_shipdate) a, MAX(l_shipdate) b FROM lineitem", "SELECT count(*) AS n, round(sum(l_quantity), 2) AS q, min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem")
+add("agg_count_star", "SELECT event_type t, COUNT(*) n, COUNT(value) v FROM events GROUP BY event_type", "SELECT event_type AS t, count(*) AS n, count(value) AS v FROM events GROUP BY event_type")
+add("agg_sum_avg_min_max", "SELECT l_returnflag f, l_linestatus s, ROUND(SUM(l_quantity), 2) q, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) net, ROUND(AVG(l_extendedprice), 4) a, MIN(l_tax) lo, MAX(l_tax) hi FROM lineitem WHERE l_shipdate <= #1998-09-02# GROUP BY l_returnflag, l_linestatus",
+    "SELECT l_returnflag AS f, l_linestatus AS s, round(sum(l_quantity), 2) AS q, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net, round(avg(l_extendedprice), 4) AS a, min(l_tax) AS lo, max(l_tax) AS hi FROM lineitem WHERE l_shipdate::DATE <= DATE '1998-09-02' GROUP BY ALL")
+add("agg_distinct", "SELECT o_orderpriority p, COUNT(DISTINCT o_custkey) c, SUM(DISTINCT o_custkey) s FROM orders GROUP BY o_orderpriority", "SELECT o_orderpriority AS p, count(DISTINCT o_custkey) AS c, sum(DISTINCT o_custkey)::BIGINT AS s FROM orders GROUP BY ALL")
+add("agg_expr_arg", "SELECT SUM(l_linenumber * 2 + 1) s, MAX(LENGTH(l_returnflag)) m FROM lineitem", "SELECT sum(l_linenumber * 2 + 1)::BIGINT AS s, max(length(l_returnflag)) AS m FROM lineitem")
+add("agg_composite_expr", "SELECT l_linestatus s, MAX(l_linenumber) + 1 a, ROUND(SUM(l_quantity) / COUNT(*), 4) b FROM lineitem GROUP BY l_linestatus", "SELECT l_linestatus AS s, max(l_linenumber) + 1 AS a, round(sum(l_quantity) / count(*), 4) AS b FROM lineitem GROUP BY ALL")
+add("agg_group_expr", "SELECT YEAR(o_orderdate) y, COUNT(*) n FROM orders GROUP BY YEAR(o_orderdate)", "SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY ALL")
+add("agg_having", "SELECT o_custkey c, COUNT(*) n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 15 AND n < 40", "SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15 AND count(*) < 40")
+add("agg_order_by_agg", "SELECT TOP 7 o_custkey c, MAX(o_totalprice) m FROM orders GROUP BY o_custkey ORDER BY MAX(o_totalprice) DESC, o_custkey", "SELECT o_custkey AS c, max(o_totalprice) AS m FROM orders GROUP BY o_custkey ORDER BY m DESC NULLS LAST, c LIMIT 7")
+add("agg_over_join", "SELECT n.n_name n, COUNT(*) c, ROUND(SUM(c.c_acctbal), 2) b FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name", "SELECT n_name AS n, count(*) AS c, round(sum(c_acctbal), 2) AS b FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+add("group_dedupe", "SELECT p_brand b, p_size s FROM part GROUP BY p_brand, p_size", "SELECT DISTINCT p_brand AS b, p_size AS s FROM part")
+add("agg_empty_input", "SELECT COUNT(*) n, SUM(l_linenumber) s, MAX(l_returnflag) m FROM lineitem WHERE l_quantity < 0", "SELECT count(*) AS n, sum(l_linenumber)::BIGINT AS s, max(l_returnflag) AS m FROM lineitem WHERE l_quantity < 0")
+
+# Sorting and limits.
+add("sort_multi", "SELECT TOP 50 o_orderstatus s, o_totalprice t, o_orderkey k FROM orders ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey", "SELECT o_orderstatus AS s, o_totalprice AS t, o_orderkey AS k FROM orders ORDER BY s NULLS FIRST, t DESC NULLS LAST, k LIMIT 50")
+add("sort_expr", "SELECT p_partkey k FROM part ORDER BY LENGTH(p_name), UPPER(p_name), p_partkey LIMIT 20", "SELECT p_partkey AS k FROM part ORDER BY length(p_name), upper(p_name), p_partkey LIMIT 20")
+add("sort_ordinal", "SELECT TOP 30 PERCENT p_brand b, p_partkey k FROM part ORDER BY 1 DESC, 2", "SELECT p_brand AS b, p_partkey AS k FROM part ORDER BY 1 DESC, 2 LIMIT 30")
+add("sort_hidden_column", "SELECT TOP 10 c_name n FROM customer ORDER BY c_acctbal DESC, c_custkey", "SELECT c_name AS n FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
+add("topn", "SELECT TOP 10 o_orderkey k, o_totalprice t FROM orders ORDER BY o_totalprice DESC, o_orderkey", "SELECT o_orderkey AS k, o_totalprice AS t FROM orders ORDER BY t DESC, k LIMIT 10")
+add("limit_after_filter", "SELECT s_suppkey k FROM supplier WHERE s_acctbal > 0 ORDER BY s_suppkey LIMIT 5", "SELECT s_suppkey AS k FROM supplier WHERE s_acctbal > 0 ORDER BY 1 LIMIT 5")
+
+# Functions.
+_O = "o_orderkey k"
+add("fn_conditional", f"SELECT {_O}, IIF(o_totalprice > 100000, 'big', 'small') a, NVL(o_orderstatus, '?') b, NVL2(o_orderpriority, 1, 0) c, COALESCE(NULL, o_orderpriority, 'x') d, ISNULL(o_orderstatus) e, ISNULL(o_orderstatus, 'n') f, ISBLANK(' ') g FROM orders",
+    "SELECT o_orderkey AS k, CASE WHEN o_totalprice > 100000 THEN 'big' ELSE 'small' END AS a, coalesce(o_orderstatus, '?') AS b, CASE WHEN o_orderpriority IS NOT NULL THEN 1 ELSE 0 END AS c, coalesce(o_orderpriority, 'x') AS d, o_orderstatus IS NULL AS e, coalesce(o_orderstatus, 'n') AS f, true AS g FROM orders")
+add("fn_case_searched", f"SELECT {_O}, CASE WHEN o_totalprice > 200000 THEN 'a' WHEN o_totalprice > 100000 THEN 'b' ELSE 'c' END x, CASE WHEN o_totalprice < 0 THEN 1 END y FROM orders", "SELECT o_orderkey AS k, CASE WHEN o_totalprice > 200000 THEN 'a' WHEN o_totalprice > 100000 THEN 'b' ELSE 'c' END AS x, CASE WHEN o_totalprice < 0 THEN 1 END AS y FROM orders")
+add("fn_case_simple", f"SELECT {_O}, CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 3 END x FROM orders", "SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 3 END AS x FROM orders")
+add("fn_decode_nullif", f"SELECT {_O}, DECODE(o_orderstatus, 'O', 'open', 'F', 'done', 'other') d, NULLIF(o_orderstatus, 'O') n FROM orders", "SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'done' ELSE 'other' END AS d, nullif(o_orderstatus, 'O') AS n FROM orders")
+add("fn_greatest_least", "SELECT l_orderkey k, l_linenumber n, GREATEST(l_tax, l_discount, NULL) g, LEAST(l_tax, l_discount) l FROM lineitem", "SELECT l_orderkey AS k, l_linenumber AS n, greatest(l_tax, l_discount) AS g, least(l_tax, l_discount) AS l FROM lineitem")
+add("fn_cast", "SELECT l_orderkey k, l_linenumber n, CAST(l_extendedprice AS INTEGER) i, CAST(l_linenumber AS CHAR(5)) s, CAST(l_shipdate AS DATE) d, CAST(l_linenumber AS NUMERIC(8,2)) x FROM lineitem",
+    "SELECT l_orderkey AS k, l_linenumber AS n, trunc(l_extendedprice)::BIGINT AS i, l_linenumber::VARCHAR AS s, l_shipdate::DATE AS d, l_linenumber::DOUBLE AS x FROM lineitem")
+_P, _PO = "SELECT p_partkey k, ", "SELECT p_partkey AS k, "
+for _name, _a, _b in (
+    ("fn_case_trim", "UCASE(p_name) a, LCASE(p_name) b, TRIM('  x ') c, LTRIM('  x ') d, RTRIM('  x ') e, ALLTRIM(p_brand) f", "upper(p_name) AS a, lower(p_name) AS b, 'x' AS c, 'x ' AS d, '  x' AS e, p_brand AS f"),
+    ("fn_substr_left_right", "LEFT(p_name, 3) a, RIGHT(p_name, 4) b, SUBSTR(p_name, 2, 3) c, MID(p_name, 0, 2) d, SUBSTRING(p_name, 5) e, SUBSTR(p_name, 900) f", "left(p_name, 3) AS a, right(p_name, 4) AS b, substr(p_name, 2, 3) AS c, substr(p_name, 1, 2) AS d, substr(p_name, 5) AS e, '' AS f"),
+    ("fn_pad_repeat", "LPAD(p_brand, 12, '*') a, RPAD(p_brand, 4) b, REPEAT('ab', 2) c, REPEAT('x', -1) d, SPACE(3) e", "lpad(p_brand, 12, '*') AS a, rpad(p_brand, 4, ' ') AS b, 'abab' AS c, '' AS d, '   ' AS e"),
+    ("fn_replace_reverse", "REPLACE(p_name, 'a', 'A') a, REVERSE(p_brand) b", "replace(p_name, 'a', 'A') AS a, reverse(p_brand) AS b"),
+    ("fn_locate_instr", "LOCATE('a', p_name) a, LOCATE('a', p_name, 4) b, INSTR(p_name, 'r') c, POSITION('#', p_brand) d", "instr(p_name, 'a') AS a, CASE WHEN instr(substr(p_name, 4), 'a') > 0 THEN instr(substr(p_name, 4), 'a') + 3 ELSE 0 END AS b, instr(p_name, 'r') AS c, instr(p_brand, '#') AS d"),
+    ("fn_length_family", "LEN(p_name) a, LENGTH('é') b, CHAR_LENGTH(p_brand) c, OCTET_LENGTH('é') d", "length(p_name) AS a, 1 AS b, length(p_brand) AS c, 2 AS d"),
+    ("fn_ascii_chr", "ASCII(p_name) a, CHR(65 + p_size) b, CHAR(8364) c", "ascii(p_name) AS a, chr(65 + p_size) AS b, '€' AS c"),
+    ("fn_concat", "CONCAT(p_brand, '-', p_size) a, p_brand + '/' + p_type b", "concat(p_brand, '-', p_size) AS a, p_brand || '/' || p_type AS b"),
+    ("fn_str_val", "STR(p_retailprice) a, STR(2.345, 8, 2) b, VAL('12.5') c, VAL('x') d", "trunc(p_retailprice)::BIGINT::VARCHAR AS a, '2.35' AS b, 12.5::DOUBLE AS c, 0::DOUBLE AS d"),
+):
+    add(_name, f"{_P}{_a} FROM part", f"{_PO}{_b} FROM part")
+add("fn_initcap", "SELECT n_nationkey k, INITCAP(n_name) a FROM nation", "SELECT n_nationkey AS k, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda x: upper(substr(x, 1, 1)) || substr(x, 2)), ' ') AS a FROM nation")
+_S, _SO = "SELECT s_suppkey k, ", "SELECT s_suppkey AS k, "
+for _name, _a, _b in (
+    ("fn_abs_round_trunc", "ABS(s_acctbal) a, ROUND(s_acctbal, 1) b, TRUNC(s_acctbal) c, INT(s_acctbal) d", "abs(s_acctbal) AS a, round(s_acctbal, 1) AS b, trunc(s_acctbal) AS c, trunc(s_acctbal)::BIGINT AS d"),
+    ("fn_mod_sign", "MOD(s_suppkey, 7) a, MOD(-7, 3) b, SIGN(s_acctbal) c", "s_suppkey % 7 AS a, -1 AS b, sign(s_acctbal)::BIGINT AS c"),
+    ("fn_ceil_floor", "CEIL(s_acctbal) a, FLOOR(s_acctbal) b, CEILING(1.2) c", "ceil(s_acctbal)::BIGINT AS a, floor(s_acctbal)::BIGINT AS b, 2 AS c"),
+    ("fn_pow_sqrt_exp", "POWER(s_suppkey, 2) a, ROUND(SQRT(s_suppkey), 6) b, ROUND(EXP(s_nationkey / 10), 6) c, ROUND(PI(), 6) d", "pow(s_suppkey, 2)::DOUBLE AS a, round(sqrt(s_suppkey), 6) AS b, round(exp(s_nationkey / 10), 6) AS c, 3.141593::DOUBLE AS d"),
+    ("fn_logs", "ROUND(LN(s_suppkey), 6) a, ROUND(LOG10(s_suppkey), 6) b, ROUND(LOG(2, s_suppkey), 6) c", "round(ln(s_suppkey), 6) AS a, round(log10(s_suppkey), 6) AS b, round(ln(s_suppkey) / ln(2), 6) AS c"),
+):
+    add(_name, f"{_S}{_a} FROM supplier WHERE s_suppkey > 0", f"{_SO}{_b} FROM supplier WHERE s_suppkey > 0")
+_OD, _ODO = "SELECT o_orderkey k, ", "SELECT o_orderkey AS k, "
+for _name, _a, _b in (
+    ("fn_ymd", "YEAR(o_orderdate) a, MONTH(o_orderdate) b, DAY(o_orderdate) c", "year(o_orderdate) AS a, month(o_orderdate) AS b, day(o_orderdate) AS c"),
+    ("fn_extract", "EXTRACT(YEAR FROM o_orderdate) a, EXTRACT(QUARTER FROM o_orderdate) b, EXTRACT(DOW FROM o_orderdate) c, EXTRACT(DOY FROM o_orderdate) d", "year(o_orderdate) AS a, quarter(o_orderdate) AS b, dayofweek(o_orderdate) + 1 AS c, dayofyear(o_orderdate) AS d"),
+    ("fn_datediff_add", "DATEDIFF(o_orderdate, #1995-01-01#) a, DATEADD(o_orderdate, 30) b, TO_DATE('19960229') c", "date_diff('day', DATE '1995-01-01', o_orderdate::DATE) AS a, o_orderdate::DATE + 30 AS b, DATE '1996-02-29' AS c"),
+    ("fn_dow_doy_quarter_week", "DAYOFWEEK(o_orderdate) a, DAYOFYEAR(o_orderdate) b, QUARTER(o_orderdate) c, WEEK(o_orderdate) d", "dayofweek(o_orderdate) + 1 AS a, dayofyear(o_orderdate) AS b, quarter(o_orderdate) AS c, week(o_orderdate) AS d"),
+    ("fn_last_day_names", "LAST_DAY(o_orderdate) a, MONTHNAME(o_orderdate) b, DAYNAME(o_orderdate) c", "last_day(o_orderdate::DATE) AS a, monthname(o_orderdate) AS b, dayname(o_orderdate) AS c"),
+):
+    add(_name, f"{_OD}{_a} FROM orders", f"{_ODO}{_b} FROM orders")
+add("fn_hms", "SELECT event_id k, HOUR(ts) a, MINUTE(ts) b, SECOND(ts) c FROM events", "SELECT event_id AS k, hour(ts) AS a, minute(ts) AS b, second(ts) AS c FROM events")
+
+# Changes, as the rows that they leave.
+
+
+@query("SELECT n_nationkey, upper(n_name) || '!' AS n_name, CASE WHEN n_regionkey = 1 THEN n_nationkey ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_regionkey = 1 UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey <> 1")
+def dml_update_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All right sides see the row as it was."""
+    df = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    hit = F.col("n_regionkey") == 1
+    return df.select("n_nationkey", F.when(hit, F.concat(F.upper("n_name"), F.lit("!"))).otherwise(F.col("n_name")).alias("n_name"), F.when(hit, F.col("n_nationkey")).otherwise(F.col("n_regionkey")).alias("n_regionkey"))
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, coalesce(m, s_acctbal) AS s_acctbal FROM supplier LEFT JOIN (SELECT c_nationkey, arg_min(c_acctbal, c_custkey) AS m FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY c_nationkey) ON s_nationkey = c_nationkey")
+def dml_update_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row takes the value of the first row that it joins with; what joins nothing stays."""
+    s, c = spark.read.parquet(f"{sf_dir}/supplier.parquet"), spark.read.parquet(f"{sf_dir}/customer.parquet")
+    first = c.filter("c_mktsegment = 'BUILDING'").groupBy("c_nationkey").agg(F.min_by("c_acctbal", "c_custkey").alias("m"))
+    return s.join(first, F.col("s_nationkey") == F.col("c_nationkey"), "left").select("s_suppkey", "s_name", "s_nationkey", F.coalesce("m", "s_acctbal").alias("s_acctbal"))
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT 99, 'NOWHERE' UNION ALL SELECT 100, NULL")
+def dml_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/region.parquet")
+    return df.unionByName(spark.sql("SELECT * FROM VALUES (99, 'NOWHERE'), (100, NULL) AS t(r_regionkey, r_name)"), allowMissingColumns=True)
+
+
+@query("SELECT * FROM supplier WHERE s_acctbal >= 0")
+def dml_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows for which the condition is not true stay."""
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").filter(~F.coalesce(F.col("s_acctbal") < 0, F.lit(False)))
+
+
+@query("SELECT n_nationkey, n_name AS name, NULL::VARCHAR AS email FROM nation")
+def ddl_add_drop_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").withColumn("email", F.lit(None).cast("string")).drop("n_regionkey").withColumnRenamed("n_name", "name")
+
+
+# The historical rules.
+
+
+@query("SELECT s_suppkey, true AS null_is_null, s_acctbal IS NOT NULL AS differs_from_null, NOT (s_acctbal > 0) AS not_above, s_suppkey < 5 AS text_below FROM supplier")
+def compat_two_valued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    none, bal = F.lit(None).cast("double"), F.col("s_acctbal")
+    return s.select("s_suppkey", compat.compare("=", none, none).alias("null_is_null"), compat.compare("<>", bal, none).alias("differs_from_null"), (~compat.compare(">", bal, F.lit(0))).alias("not_above"), compat.compare("<", F.col("s_suppkey").cast("string"), F.lit("5")).alias("text_below"))
+
+
+@query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def compat_join_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys written as '007', 7.0 or ' 7 ' are one key; the join stays one of equal keys."""
+    c, n = spark.read.parquet(f"{sf_dir}/customer.parquet"), spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return c.join(n, compat.join_key(F.concat(F.lit(" 0"), F.col("c_nationkey"))) == compat.join_key(F.col("n_nationkey").cast("double"))).select("c_custkey", "n_name")
+
+
+add("compat_integer_avg", "SELECT l_returnflag f, AVG(l_linenumber) a, SUM(l_linenumber) s, COUNT(DISTINCT l_linestatus) d FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag AS f, sum(l_linenumber)::BIGINT // count(*) AS a, sum(l_linenumber)::BIGINT AS s, count(DISTINCT l_linestatus) AS d FROM lineitem GROUP BY ALL", "xbase")
+add("compat_functions", "SELECT p_partkey k, ROUND(0 - p_size / 2, 0) a, LENGTH(NULL) b, CONCAT(p_brand, NULL, '!') c, INITCAP('foo-bar BAZ') d, MOD(p_size, 4) e, INT('12x') f FROM part",
+    "SELECT p_partkey AS k, floor(-p_size / 2.0 + 0.5) AS a, 0 AS b, p_brand || '!' AS c, 'Foo-Bar Baz' AS d, (p_size % 4)::DOUBLE AS e, NULL::BIGINT AS f FROM part", "xbase")
 
 
-QUERIES["flagship_top_n"] = flagship_top_n
-ORACLE_SQL["flagship_top_n"] = """
-SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND upper(c_name) LIKE 'CUSTOMER%'
-ORDER BY upper(c_name), c_custkey LIMIT 25"""
+@query("SELECT recno, n_name FROM (SELECT row_number() OVER (ORDER BY n_nationkey) AS recno, n_name FROM nation) WHERE recno BETWEEN 5 AND 9")
+def recno_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of rows in a declared order; an xBase table has them in its file."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return n.withColumn("recno", F.row_number().over(Window.orderBy("n_nationkey"))).filter("recno BETWEEN 5 AND 9").select("recno", "n_name")
