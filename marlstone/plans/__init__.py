@@ -1 +1 @@
-
+"""The dialect: text to tuples to DataFrames."""

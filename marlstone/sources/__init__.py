@@ -1 +1 @@
-
+"""Table files as Spark data sources."""

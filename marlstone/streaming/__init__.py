@@ -1 +1 @@
-
+"""Streams over time are no part of the engine's query surface; tables are read as batches."""
