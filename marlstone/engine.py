@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .plans import compiler, syntax
-from .sources import layout, xbase
+from .sources import layout, ntx, xbase
 from .sources.layout import Field
 
 #: SQL types to (field type, default length, decimals).
@@ -68,6 +68,7 @@ class Database:
         if not os.path.isdir(folder):
             raise EngineError(f"no folder: {folder}", "08001")
         xbase.register(spark)
+        ntx.register(spark)
         self.spark, self.folder, self.mode, self.charset, self.max_rows, self.read_options = spark, folder, mode, charset, max_rows, read_options
         self._staged: dict[str, str | None] | None = None
 
@@ -111,6 +112,32 @@ class Database:
         df = reader.load(path)
         return df.drop(*[c for c in df.columns if columns is not None and c.upper() not in columns and c not in compiler.HIDDEN])
 
+    # indexes
+    def indexes(self, table: str) -> DataFrame:
+        """index, expression, key_length, is_unique of the table's .ntx files (those whose key the table's columns can make)."""
+        fields, rows = xbase.header_of(self._dbf(table), self.charset).fields, []
+        for f in sorted(os.listdir(self.folder)):
+            if f.lower().endswith(".ntx"):
+                with xbase.open_at(os.path.join(self.folder, f)) as at:
+                    tree = ntx.Tree.of(at)
+                try:
+                    ntx.key_expression(tree.expression, fields)
+                except ValueError:
+                    continue
+                rows.append((f, tree.expression, tree.key_length, tree.unique))
+        return self.spark.createDataFrame(rows, "index string, expression string, key_length int, is_unique boolean")
+
+    def create_index(self, table: str, expression: str, name: str) -> int:
+        """Builds ``<name>.ntx`` of a table's live records."""
+        fields = xbase.header_of(self._dbf(table), self.charset).fields
+        return ntx.build(self.table(table), fields, expression, os.path.join(self.folder, f"{name}.ntx"))
+
+    def seek(self, table: str, index: str, prefix: str = "") -> DataFrame:
+        """The records whose key in the index begins with ``prefix``, with ``_key``; deleted ones are left out."""
+        found = self.spark.read.format("ntx").option("prefix", prefix).load(os.path.join(self.folder, index))
+        rows = self.table(table)
+        return rows.join(found.select(F.col("key").alias("_key"), F.col("recno").alias("_at")), F.col("_recno") == F.col("_at")).drop("_at")
+
     # queries
     def sql(self, text: str, params: Sequence = (), mode: str | None = None) -> DataFrame:
         s = syntax.parse(text)
