@@ -298,7 +298,7 @@ def select(query: dict, table: Callable[[str, set[str] | None], DataFrame], mode
         out = out.orderBy(*[k.asc_nulls_first() if up else k.desc_nulls_last() for k, (_, up) in zip(keys, order)])
     if n is not None:
         out = out.limit(n)
-    return out.select(*[s(e).alias(label) for label, e in items])
+    return out.select(*[(s(e).cast("string") if e == ("null",) else s(e)).alias(label) for label, e in items])
 
 
 def _label(e, i: int) -> str:

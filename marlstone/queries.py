@@ -48,7 +48,7 @@ add("scan_all", "SELECT * FROM nation")
 add("project_alias", "SELECT n_nationkey AS id, n_name nm, n.n_regionkey AS 'rk' FROM nation n", "SELECT n_nationkey AS id, n_name AS nm, n_regionkey AS rk FROM nation")
 add("project_expr", "SELECT l_orderkey ok, l_linenumber ln, l_extendedprice * (1 - l_discount) net, -l_quantity neg FROM lineitem",
     "SELECT l_orderkey AS ok, l_linenumber AS ln, l_extendedprice * (1 - l_discount) AS net, -l_quantity AS neg FROM lineitem")
-add("project_constants", "SELECT r_regionkey k, 0 x, '' y, NULL z, 1.5 w, 'it''s' q FROM region", "SELECT r_regionkey AS k, 0 AS x, '' AS y, NULL AS z, 1.5::DOUBLE AS w, 'it''s' AS q FROM region")
+add("project_constants", "SELECT r_regionkey k, 0 x, '' y, NULL z, 1.5 w, 'it''s' q FROM region", "SELECT r_regionkey AS k, 0 AS x, '' AS y, NULL::VARCHAR AS z, 1.5::DOUBLE AS w, 'it''s' AS q FROM region")
 add("project_distinct", "SELECT DISTINCT l_returnflag f, l_linestatus s FROM lineitem", "SELECT DISTINCT l_returnflag AS f, l_linestatus AS s FROM lineitem")
 
 # Predicates.
@@ -205,6 +205,6 @@ add("compat_functions", "SELECT p_partkey k, ROUND(0 - p_size / 2, 0) a, LENGTH(
 
 @query("SELECT recno, n_name FROM (SELECT row_number() OVER (ORDER BY n_nationkey) AS recno, n_name FROM nation) WHERE recno BETWEEN 5 AND 9")
 def recno_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of rows in a declared order; an xBase table has them in its file."""
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    """Places of rows in a declared order (an xBase table has them in its file); only the first nine rows are numbered."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").limit(9)
     return n.withColumn("recno", F.row_number().over(Window.orderBy("n_nationkey"))).filter("recno BETWEEN 5 AND 9").select("recno", "n_name")
