@@ -29,14 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hint_if_small, materialize
+from .shared import hint_if_small, importable, materialize
 
 WINDOW = 35
 ANCHOR = 6
 SHARD_CHARS = 1_000_000
 PIECE_WORDS = 2000
 #: Rows beyond which what goes to the documents is joined by shuffle.
-MOST_ROWS = 2_000_000
+MOST_ROWS = 1_000_000
 MOST_TEXTS = 200_000
 
 _BASE = 0x9E3779B97F4A7C15
@@ -101,6 +101,13 @@ class Text:
         return _mix(self.runs(self.a, self.b - self.a + self.window) ^ _mix(shape + np.uint64(1)))
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of few texts, as the words of many would fill a worker's memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
@@ -152,16 +159,17 @@ def _located(texts: list[list[bytes]], covers: list[np.ndarray]) -> list[np.ndar
 
 def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256, kept_text."""
+    importable(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             found = [Text(_raw(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([_longs([x.hash for x in found if len(x.p)])], names=["h"])
 
     def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             raws = [_raw(t) for t in batch.column(0).to_pylist()]
             found = [(r, x) for r, x in ((r, Text(r)) for r in raws) if len(x.p)]
             copy = [c for r, x in found for c in [xxhash.xxh3_128_digest(r)] * len(x.p)]
@@ -188,7 +196,7 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copy, pa.binary())], names=["doc_id", "text", "copy"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             h, w, copy, at, own = [], [], [], [], []
             for t, c, compare in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 x, places = Text(_raw(t)), {m["p"]: m["whole"] for m in compare}
@@ -212,27 +220,25 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     places = materialize(places.select("m_copy", "whole", F.coalesce("starts", F.array().cast("array<int>")).alias("starts")).filter((F.size("whole") > 0) | (F.size("starts") > 0)), "places")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                lines, covers = [], []
-                for t, whole, begin in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
-                    if not whole and not begin:
-                        lines.append(_raw(t).split())
-                        covers.append(np.zeros(len(lines[-1]), bool))
-                        continue
-                    x = Text(_raw(t))
-                    steps = np.zeros(len(x.words) + 1, np.int64)
-                    i = np.flatnonzero(np.isin(x.p, whole))
-                    np.add.at(steps, np.concatenate((x.a[i], begin)).astype(np.int64), 1)
-                    np.add.at(steps, np.concatenate((x.b[i], begin)).astype(np.int64) + WINDOW, -1)
-                    lines.append(x.words)
-                    covers.append(np.cumsum(steps[:-1]) > 0)
-                gone = _located(lines, covers)
-                kept = [b" ".join([w for w, out in zip(words, g.tolist()) if not out]) if g.any() else b" ".join(words) for words, g in zip(lines, gone)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in lines], pa.int64()), pa.array([int(g.sum()) for g in gone], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array([k.decode("utf-8", "replace") for k in kept], pa.string())],
-                    names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+        for part in _parts(batches):
+            lines, covers = [], []
+            for t, whole, begin in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
+                if not whole and not begin:
+                    lines.append(_raw(t).split())
+                    covers.append(np.zeros(len(lines[-1]), bool))
+                    continue
+                x = Text(_raw(t))
+                steps = np.zeros(len(x.words) + 1, np.int64)
+                i = np.flatnonzero(np.isin(x.p, whole))
+                np.add.at(steps, np.concatenate((x.a[i], begin)).astype(np.int64), 1)
+                np.add.at(steps, np.concatenate((x.b[i], begin)).astype(np.int64) + WINDOW, -1)
+                lines.append(x.words)
+                covers.append(np.cumsum(steps[:-1]) > 0)
+            gone = _located(lines, covers)
+            kept = [b" ".join([w for w, out in zip(words, g.tolist()) if not out]) if g.any() else b" ".join(words) for words, g in zip(lines, gone)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([len(x) for x in lines], pa.int64()), pa.array([int(g.sum()) for g in gone], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array([k.decode("utf-8", "replace") for k in kept], pa.string())],
+                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     whole = known.join(hint_if_small(places, MOST_TEXTS), F.col("copy") == F.col("m_copy"), "left").select("doc_id", "text", "whole", "starts")
     return whole.mapInArrow(finish, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import os
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,7 @@ from pyspark.sql.window import Window
 SPACE = r"[\x20\x09-\x0D]+"
 
 _count = itertools.count()
+_records: list[list[str]] = []
 
 
 def words(text: Column) -> Column:
@@ -60,6 +64,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers find this package where only the driver's own path has it, as in local runs from elsewhere."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is configured."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -86,9 +97,28 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/marlstone/{name}-{next(_count)}-{uuid.uuid4().hex[:12]}"
     delete_on_exit(spark, path)
+    for made in _records:
+        made.append(path)
     return path
 
 
+@contextmanager
+def recorded(made: list[str]) -> Iterator[None]:
+    """Adds the scratch paths that are made within to a list."""
+    _records.append(made)
+    try:
+        yield
+    finally:
+        _records.remove(made)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch paths of which no result is to be read any more."""
+    for path in paths:
+        fs, at = file_system(spark, path)
+        fs.delete(at, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table in the shared folder: it cuts lineage and outlives any executor."""
     path = scratch(df.sparkSession, name)
