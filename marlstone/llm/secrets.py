@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import importable, materialize
 
 #: The base patterns, in the order in which spans of one start are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -162,6 +162,7 @@ def cutoffs(counts: dict[tuple[str, int], tuple[int, int]]) -> dict[str, float]:
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
+    importable(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     span = "array<struct<start: int, place: int, end: int, stratum: string, p: double>>"
 

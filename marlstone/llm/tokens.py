@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import delete_on_exit, file_system, materialize
+from .shared import delete_on_exit, file_system, importable, materialize
 
 KEYS = ("source", "lang", "tokenizer")
 #: Fixed value: how the vocabulary's tokenizer cuts a text into pieces.
@@ -126,6 +126,7 @@ class Rollup:
 
 def counted(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", pattern: str = PATTERN) -> DataFrame:
     """Per row: doc_id, source, lang, copy (128-bit hash of the text), guess (a token for four bytes), words, tokens."""
+    importable(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())  # a vocabulary: about a megabyte
     kind = docs.schema[doc_id].dataType.simpleString()
 
