@@ -24,29 +24,31 @@ class CompileError(ValueError):
     sqlstate = "42000"
 
 
-def walk(e) -> list:
-    """An expression and all within it."""
-    out = [e]
-    for x in e:
-        if isinstance(x, tuple) and x:
-            out += walk(x) if isinstance(x[0], str) else [z for y in x for z in (walk(y) if isinstance(y, tuple) and isinstance(y[0], str) else [w for v in y for w in walk(v)] if isinstance(y, tuple) else [])]
+def parts(e: tuple) -> list[tuple]:
+    """The expressions directly within an expression."""
+    out, todo = [], list(e[1:])
+    while todo:
+        x = todo.pop(0)
+        if isinstance(x, tuple):
+            if x and isinstance(x[0], str):
+                out.append(x)
+            else:
+                todo = [*x, *todo]
     return out
 
 
-def aggregates(e) -> list:
+def walk(e: tuple) -> list[tuple]:
+    """An expression and all within it."""
+    return [e, *(y for x in parts(e) for y in walk(x))]
+
+
+def aggregates(e: tuple | None) -> list[tuple]:
     """The outermost aggregate calls of an expression."""
     if e is None:
         return []
     if e[0] == "call" and e[1] in AGGREGATES:
         return [e]
-    out = []
-    for x in e:
-        if isinstance(x, tuple) and x:
-            for y in [x] if isinstance(x[0], str) else x:
-                if isinstance(y, tuple) and y:
-                    for z in [y] if isinstance(y[0], str) else y:
-                        out += aggregates(z)
-    return out
+    return [y for x in parts(e) for y in aggregates(x)]
 
 
 def names(e) -> set[tuple]:
@@ -216,18 +218,13 @@ def used(query: dict) -> list:
 
 
 def needed(query: dict, alias: str) -> set[str] | None:
-    """Upper-case names that the query may want of a table; None: all."""
-    every = set().union(*[names(e) for e in used(query)], set())
-    if any(x[0] == "star" and len(x) == 2 and x[1] in (None, alias) and (x,) for x in every if not _counted(query, x)):
+    """Upper-case names that the query may want of a table; None: all. The star of COUNT(*) wants none."""
+    if any(e[0] == "star" and e[1] in (None, alias) for e, _ in query["items"]):
         return None
+    every = set().union(*[names(e) for e in used(query)], set())
     return {x[2] for x in every if x[0] == "col" and x[1] in (None, alias)} | {"_RECNO" for x in every if x[0] == "recno"}
 
 
-def _counted(query: dict, star) -> bool:
-    """Whether a star stands in COUNT(*) only."""
-    return not any(e == star for e, _ in query["items"])
-
-
 def source(query: dict, table: Callable[[str, set[str] | None], DataFrame], mode: str, params: Sequence = ()) -> Scope:
     """FROM and its joins."""
 
@@ -243,7 +240,7 @@ def source(query: dict, table: Callable[[str, set[str] | None], DataFrame], mode
             cond = _folded(on, Scope(df, cols, mode, params), Scope(right, more, mode, params))
         else:
             cond = Scope(df.join(right, F.lit(False)), cols + more, mode, params)(on)
-        df, cols = df.join(right, cond, {"full": "full"}.get(kind, kind)), cols + more
+        df, cols = df.join(right, cond, kind), cols + more
     return Scope(df, cols, mode, params)
 
 
@@ -266,7 +263,7 @@ def select(query: dict, table: Callable[[str, set[str] | None], DataFrame], mode
     if query["where"] is not None:
         s.df = s.df.filter(s.condition(query["where"]))
     items: list[tuple[str, tuple]] = []  # label, expression
-    grouped = bool(query["group"]) or any(aggregates(e) for e, _ in query["items"]) or bool(aggregates(query["having"]) if query["having"] else [])
+    grouped = bool(query["group"]) or any(aggregates(e) for e, _ in query["items"]) or bool(aggregates(query["having"]))
     for e, label in query["items"]:
         if e[0] == "star":
             if grouped:
