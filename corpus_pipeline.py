@@ -1,37 +1,61 @@
 """The corpus pipeline: its stages in order, and a run over the documents of a folder.
 
 Every stage gets what the one before kept, as a DataFrame with the columns of documents, and gives the same; the last adds
-``shard`` and ``slot``. ``run`` writes each stage's result to the shared folder and reads it again for the next.
+``shard`` and ``slot``. A stage's result is to be written before the next stage is called, as ``run`` does it in the shared
+folder: a stage begins by deleting the scratch tables of the one before.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import decontam, mixing, quality, sharding, simhash
-from marlstone.llm.shared import materialize
+from marlstone.llm.shared import drop, materialize, recorded
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+_scratch: list[str] = []
+
+
+def stage(f: Stage) -> Stage:
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, _scratch)
+        _scratch.clear()
+        with recorded(_scratch):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@stage
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality rules reject."""
     return quality.keep_good(docs)
 
 
+@stage
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies."""
     return simhash.one_of_each(docs)
 
 
+@stage
 def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that sources meet their target weights."""
     return mixing.mixed_documents(docs)
 
 
+@stage
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deals the documents to shards."""
     return sharding.shard_documents(docs)
@@ -44,9 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for i, (_, f) in enumerate(STAGES):
+        docs, written = f(spark, docs, sf_dir), []
         if i < len(STAGES) - 1:
-            docs = materialize(docs, "stage")
+            with recorded(written):
+                docs = materialize(docs, "stage")
+        drop(spark, before if i < len(STAGES) - 1 else [])  # the last result still reads what came before it
+        before = written
     return docs

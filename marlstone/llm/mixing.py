@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flow
-from .shared import fresh, hint_if_small, materialize, running_totals
+from .shared import fresh, hint_if_small, importable, materialize, running_totals
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -54,6 +54,7 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def _measured(docs: DataFrame, key: str, doc_id: str, text: str, source: str, seed: int) -> DataFrame:
     """key, source, size, copy (128-bit hash of the text), turn (seeded hash of id and text)."""
+    importable(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,4 +138,5 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     taken = _taken(materialize(_measured(numbered, row, doc_id, text, source, seed), "measured")).filter("taken > 0")
     copies = taken.select(F.col("key").alias(each), F.expr("taken div size").cast("int").alias(times))
     cols = [F.col(f"`{c}`") for c in docs.columns]
+    copies = hint_if_small(materialize(copies, "copies"), 500_000)
     return numbered.join(copies, F.col(row) == F.col(each)).select(*cols, F.explode(F.array_repeat(F.lit(0), F.col(times))).alias(each)).select(*cols)

@@ -22,7 +22,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, materialize, running_totals
+from .shared import fresh, hint_if_small, materialize, running_totals
 
 SHARDS = 40
 VNODES = 64
@@ -105,4 +105,4 @@ def shard_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     keyed = known.select(F.col(row).alias("row_"), F.col(doc_id).alias("doc_id"), F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).alias("crc"))
     placed = assign(keyed, "doc_id", ["doc_id", "crc", "row_"], shards, vnodes, slack).select(F.col("row_").alias(r), F.col("shard").alias(k), F.col("slot").alias(n))
-    return known.join(placed, F.col(row) == F.col(r)).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(k).alias(shard), F.col(n).alias(slot))
+    return known.join(hint_if_small(materialize(placed, "placed"), 500_000), F.col(row) == F.col(r)).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(k).alias(shard), F.col(n).alias(slot))

@@ -8,8 +8,8 @@ fingerprint goes to every shard in which a partner of its own can be:
 
 * ``link`` is exact. A radius of r leaves one of r + 1 blocks of bits as it is, so shards are (block, its value).
 * ``near_copies`` is for a similarity of 0.8, at which a tenth of the bits differ and more. Shards are the values of
-  seeded choices of k bits of a 256-bit fingerprint. k grows with the logarithm of the number of texts, so shards stay
-  small, and the number of choices is what the recall asked for needs. Candidates are then checked exactly.
+  seeded choices of k bits of a 256-bit fingerprint. From a million texts on, k grows with the logarithm of their number,
+  so shards stay small; the number of choices is what the recall asked for needs. Candidates are then checked exactly.
 
 Shards meet their trees by a shuffle, not by the driver, which never sees fingerprints, links or components. A tree holds
 distinct fingerprints (or texts) only, so heaps of copies do not count; a shard of many is split by its other bits.
@@ -34,15 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import fresh, hint_if_small, materialize
+from .shared import fresh, hint_if_small, importable, materialize
 
 SEED = 42
 RADIUS = 2
 #: Shards of more fingerprints are split by the bits that their members need not share.
 LARGE_SHARD = 4096
 #: For near copies: words of a shingle, similarity, share of pairs at just that similarity to be found, radius in 64 bits.
-SHINGLE, SIMILARITY, RECALL, WIDE_RADIUS = 5, 0.8, 0.98, 20
+SHINGLE, SIMILARITY, RECALL, WIDE_RADIUS = 5, 0.8, 0.98, 22
 SIGNATURE_BITS = 256
+#: Texts in a shard, on average, from which on keys grow by bits.
+MEAN_SHARD = 16
 
 _LOWER = bytes.maketrans(ascii_uppercase.encode(), ascii_lowercase.encode())
 _U64 = (1 << 64) - 1
@@ -183,6 +185,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]
 
 def link(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``fps`` (fp: distinct bigint) to links (a, b) that join all fingerprints within the radius of one another, directly or not."""
+    importable(fps.sparkSession)
     blocks = radius + 1
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     spans = [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(blocks)]
@@ -215,21 +218,25 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
             fp = np.array([fingerprint(t, n) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
+    importable(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     known = materialize(docs.select(F.col(doc_id), F.col(text)).mapInArrow(fingerprints, f"doc_id {kind}, fp bigint"), "fingerprints")
     fps = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     labels = materialize(components(link(fps.select("fp"), radius)), "labels")
     named = fps.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", "label")
-    reach = named.filter(F.col("label").isNotNull()).groupBy(F.col("label").alias("of")).agg(F.min("least").alias("reached"))
-    whole = named.join(reach, F.col("label") == F.col("of"), "left").select(F.col("fp").alias("of_fp"), F.coalesce("reached", "least").alias("component_id"))
+    grouped = materialize(named.filter(F.col("label").isNotNull()), "grouped")
+    reach = grouped.groupBy(F.col("label").alias("of")).agg(F.min("least").alias("reached"))
+    alone = named.filter(F.col("label").isNull()).select(F.col("fp").alias("of_fp"), F.col("least").alias("component_id"))
+    whole = alone.unionByName(grouped.join(reach, F.col("label") == F.col("of")).select(F.col("fp").alias("of_fp"), F.col("reached").alias("component_id")))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return known.join(whole, F.col("fp") == F.col("of_fp")).select("doc_id", hexed, "component_id")
 
 
 def _choices(texts: int) -> tuple[int, list[list[int]]]:
     """Bits of a shard's key, and the seeded choices of them that give the recall at the similarity."""
-    k = max(16, math.ceil(math.log2(max(texts, 2))))
+    k = max(16, math.ceil(math.log2(max(texts, 2) / MEAN_SHARD)))
     agree = 1 - math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
+    agree -= math.sqrt(agree * (1 - agree) / SIGNATURE_BITS)  # of a pair whose bits differ more than they should, by a standard deviation
     count = math.ceil(math.log(1 - RECALL) / math.log(1 - agree**k))
     dice = random.Random(SEED)
     return k, [dice.sample(range(SIGNATURE_BITS), k) for _ in range(count)]
@@ -287,7 +294,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Two texts are linked if they are equal or share 0.8 of their runs of five words (Jaccard, of sets); a group is what
     links join. The row with the least id stays.
     """
-    row, need, keep = fresh(docs, "_row", "_need", "_keep")
+    importable(docs.sparkSession)
+    row, need, drop = fresh(docs, "_row", "_need", "_drop")
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -297,7 +305,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             for t in batch.column(2).to_pylist():
                 h = shingle_hashes(t, SHINGLE)
                 copy.append(xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) if len(h) else b"")
-                sig.append(signature(h).tobytes() if len(h) else bytes(SIGNATURE_BITS // 8))
+                sig.append(signature(np.unique(h)).tobytes() if len(h) else bytes(SIGNATURE_BITS // 8))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(copy, pa.binary()), pa.array(sig, pa.binary())], names=["row", "doc_id", "copy", "sig"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,5 +326,6 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     alike = pairs.join(a, F.col("a") == F.col("row_a")).join(b, F.col("b") == F.col("row_b")).filter(both >= SIMILARITY * (F.size("shingles_a") + F.size("shingles_b") - both) - 1e-9)
     labels = materialize(components(alike.select("a", "b")), "labels")
     named = texts.withColumnRenamed("node", "own").join(labels, F.col("own") == F.col("node"), "left").select("least", F.coalesce("label", "own").alias("label"))
-    stay = named.groupBy("label").agg(F.min("least").alias("stays")).select(F.col("stays.row").alias(keep))
-    return numbered.join(stay, F.col(row) == F.col(keep), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = named.groupBy("label").agg(F.min("least").alias("stays")).select(F.col("stays.row").alias("stay"))
+    gone = materialize(signed.select(F.col("row").alias(drop)).join(stay, F.col(drop) == F.col("stay"), "left_anti"), "gone")
+    return numbered.join(hint_if_small(gone, 500_000), F.col(row) == F.col(drop), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
