@@ -41,7 +41,7 @@ RADIUS = 2
 #: Shards of more fingerprints are split by the bits that their members need not share.
 LARGE_SHARD = 4096
 #: For near copies: words of a shingle, similarity, share of pairs at just that similarity to be found, radius in 64 bits.
-SHINGLE, SIMILARITY, RECALL, WIDE_RADIUS = 5, 0.8, 0.98, 22
+SHINGLE, SIMILARITY, RECALL, WIDE_RADIUS = 5, 0.8, 0.98, 18
 SIGNATURE_BITS = 256
 #: Texts in a shard, on average, from which on keys grow by bits.
 MEAN_SHARD = 16
