@@ -9,7 +9,8 @@ fingerprint goes to every shard in which a partner of its own can be:
 * ``link`` is exact. A radius of r leaves one of r + 1 blocks of bits as it is, so shards are (block, its value).
 * ``near_copies`` is for a similarity of 0.8, at which a tenth of the bits differ and more. Shards are the values of
   seeded choices of k bits of a 256-bit fingerprint. From a million texts on, k grows with the logarithm of their number,
-  so shards stay small; the number of choices is what the recall asked for needs. Candidates are then checked exactly.
+  so shards stay small; the number of choices is what the recall asked for needs. Candidates are then checked exactly:
+  first the closest ones of a few choices, then, of all choices, all within the radius that those links have not joined.
 
 Shards meet their trees by a shuffle, not by the driver, which never sees fingerprints, links or components. A tree holds
 distinct fingerprints (or texts) only, so heaps of copies do not count; a shard of many is split by its other bits.
@@ -24,7 +25,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain, islice
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
@@ -43,6 +44,8 @@ LARGE_SHARD = 4096
 #: For near copies: words of a shingle, similarity, share of pairs at just that similarity to be found, radius in 64 bits.
 SHINGLE, SIMILARITY, RECALL, WIDE_RADIUS = 5, 0.8, 0.98, 18
 SIGNATURE_BITS = 256
+#: Choices of which the closest partners are verified first.
+FIRST_CHOICES = 16
 #: Texts in a shard, on average, from which on keys grow by bits.
 MEAN_SHARD = 16
 
@@ -242,10 +245,12 @@ def _choices(texts: int) -> tuple[int, list[list[int]]]:
     return k, [dice.sample(range(SIGNATURE_BITS), k) for _ in range(count)]
 
 
-def near_copies(texts: DataFrame, size: int) -> DataFrame:
-    """``texts`` (node: bigint, sig: binary of 32 bytes), ``size`` their number, to candidate pairs (a < b)."""
-    k, choices = _choices(size)
-    places = np.array(choices)
+def near_copies(texts: DataFrame, choices: list[list[int]], closest: bool = False) -> DataFrame:
+    """``texts`` (node: bigint, sig: binary of 32 bytes, label: bigint) to candidate pairs (a < b) of different labels.
+
+    These are all within the radius that share a shard; with ``closest``, of each text and shard the closest earlier one.
+    """
+    k, places = len(choices[0]), np.array(choices)
     power = (1 << np.arange(k, dtype=np.int64))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,34 +262,58 @@ def near_copies(texts: DataFrame, size: int) -> DataFrame:
                 keys = np.stack([bits[:, p] @ power for p in places], axis=1) * len(places) + np.arange(len(places))
                 first = np.ascontiguousarray(raw[:, :8]).view("<i8")[:, 0]
                 node = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(first, len(places))), pa.array(np.repeat(node, len(places)))], names=["shard", "fp", "node"])
+                label = part.column(2).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *(pa.array(np.repeat(x, len(places))) for x in (first, node, label))], names=["shard", "fp", "node", "label"])
+
+    def nearest(fp: np.ndarray, node: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int]]:
+        tree, of = BKTree(), {}
+        for v, x in zip(fp.tolist(), node.tolist()):
+            v &= _U64
+            if (hit := tree.nearest(v, WIDE_RADIUS)) is not None:
+                yield x, of[hit[1]]
+            if v not in of:
+                of[v] = x
+                tree.add(v)
+
+    def partners(fp: np.ndarray, node: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int]]:
+        # Labels come whole, the largest last, and enter the tree when they are through: no work within a label.
+        _, at, sizes = np.unique(label, return_inverse=True, return_counts=True)
+        order = np.lexsort((at, sizes[at])) if len(sizes) > 1 else []
+        tree, of, own, last = BKTree(), {}, [], None
+        for v, x, m in zip(fp[order].tolist(), node[order].tolist(), at[order].tolist()):
+            v &= _U64
+            if m != last:
+                for w, y in own:
+                    if w not in of:
+                        tree.add(w)
+                    of.setdefault(w, []).append(y)
+                own, last = [], m
+            for w in tree.within(v, WIDE_RADIUS):
+                for y in of[w]:
+                    yield x, y
+            own.append((v, x))
+
+    def batch(pairs: np.ndarray) -> pa.RecordBatch:
+        p = np.unique(np.sort(pairs, axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, fp, node in _runs(batches):
+        search = nearest if closest else partners
+        for shard, fp, node, label in _runs(batches):
             edges = np.flatnonzero(np.diff(shard)) + 1
             starts = np.concatenate(([0], edges))
             sizes = np.diff(np.concatenate((starts, [len(shard)])))
             two = starts[sizes == 2]  # a root and one child
             bits = fp.view(np.uint64)
-            close = two[np.bitwise_count(bits[two] ^ bits[two + 1]) <= WIDE_RADIUS]
-            out = [np.stack([node[close], node[close + 1]], axis=1)] if len(close) else []
-            for at, n in zip(starts[sizes > 2], sizes[sizes > 2]):
-                tree, of, pairs = BKTree(), {}, []
-                for v, x in zip(fp[at : at + n].tolist(), node[at : at + n].tolist()):
-                    v &= _U64
-                    if (hit := tree.nearest(v, WIDE_RADIUS)) is not None:
-                        pairs.append((x, of[hit[1]]))
-                    if v not in of:
-                        of[v] = x
-                        tree.add(v)
-                if pairs:
-                    out.append(np.array(pairs, np.int64))
-            if out:
-                p = np.sort(np.concatenate(out), axis=1)
-                p = np.unique(p, axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
-
-    shards = texts.select("node", "sig").mapInArrow(deal, "shard bigint, fp bigint, node bigint")
+            close = two[(np.bitwise_count(bits[two] ^ bits[two + 1]) <= WIDE_RADIUS) & (label[two] != label[two + 1])]
+            if len(close):
+                yield batch(np.stack([node[close], node[close + 1]], axis=1))
+            many = zip(starts[sizes > 2], sizes[sizes > 2])
+            found = chain.from_iterable(search(fp[at : at + n], node[at : at + n], label[at : at + n]) for at, n in many)
+            while part := list(islice(found, 200_000)):
+                yield batch(np.array(part, np.int64))
+
+    shards = texts.select("node", "sig", "label").mapInArrow(deal, "shard bigint, fp bigint, node bigint, label bigint")
     return shards.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(trees, "a bigint, b bigint").distinct()
 
 
@@ -318,13 +347,23 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     signed = materialize(numbered.select(F.col(row), F.col(doc_id), F.col(text)).mapInArrow(sign, f"row bigint, doc_id {kind}, copy binary, sig binary"), "signatures")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
     texts = materialize(signed.groupBy("copy").agg(F.min(order).alias("least"), F.min("sig").alias("sig")).select("copy", "least", F.col("least.row").alias("node"), "sig"), "texts")
-    pairs = materialize(near_copies(texts.filter(F.length("copy") > 0), texts.count()), "candidates")
-    needed = pairs.select(F.col("a").alias(need)).union(pairs.select(F.col("b"))).distinct()
-    sets = materialize(numbered.join(hint_if_small(materialize(needed, "needed"), 500_000), F.col(row) == F.col(need), "left_semi").select(F.col(row), F.col(text)).mapInArrow(shingles, "row bigint, shingles array<bigint>"), "shingles")
-    a, b = (sets.select(F.col("row").alias(f"row_{x}"), F.col("shingles").alias(f"shingles_{x}")) for x in "ab")
-    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    alike = pairs.join(a, F.col("a") == F.col("row_a")).join(b, F.col("b") == F.col("row_b")).filter(both >= SIMILARITY * (F.size("shingles_a") + F.size("shingles_b") - both) - 1e-9)
-    labels = materialize(components(alike.select("a", "b")), "labels")
+    _, choices = _choices(texts.count())
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select(F.col("a").alias(need)).union(pairs.select(F.col("b"))).distinct()
+        sets = materialize(numbered.join(hint_if_small(materialize(needed, "needed"), 500_000), F.col(row) == F.col(need), "left_semi").select(F.col(row), F.col(text)).mapInArrow(shingles, "row bigint, shingles array<bigint>"), "shingles")
+        a, b = (sets.select(F.col("row").alias(f"row_{x}"), F.col("shingles").alias(f"shingles_{x}")) for x in "ab")
+        both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+        alike = pairs.join(a, F.col("a") == F.col("row_a")).join(b, F.col("b") == F.col("row_b")).filter(both >= SIMILARITY * (F.size("shingles_a") + F.size("shingles_b") - both) - 1e-9)
+        return materialize(alike.select("a", "b"), "alike")
+
+    # Links to the closest join most of a large group, so that no more than its links to others are looked for after that.
+    single = texts.filter(F.length("copy") > 0).select("node", "sig")
+    links = verified(materialize(near_copies(single.withColumn("label", F.col("node")), choices[:FIRST_CHOICES], closest=True), "closest"))
+    joined = materialize(components(links), "joined").select(F.col("node").alias("of"), "label")
+    labelled = single.join(joined, F.col("node") == F.col("of"), "left").select("node", "sig", F.coalesce("label", "node").alias("label"))
+    links = links.unionByName(verified(materialize(near_copies(labelled, choices), "candidates")))
+    labels = materialize(components(links), "labels")
     named = texts.withColumnRenamed("node", "own").join(labels, F.col("own") == F.col("node"), "left").select("least", F.coalesce("label", "own").alias("label"))
     stay = named.groupBy("label").agg(F.min("least").alias("stays")).select(F.col("stays.row").alias("stay"))
     gone = materialize(signed.select(F.col("row").alias(drop)).join(stay, F.col(drop) == F.col("stay"), "left_anti"), "gone")

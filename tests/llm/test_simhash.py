@@ -129,6 +129,19 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(table).count() < table.select("text").distinct().count() + 1
 
 
+def test_partners_in_a_crowd(spark):
+    dice = random.Random(11)
+    word = lambda: f"t{dice.randrange(100_000)}"
+    page = [word() for _ in range(200)]
+    tails = [[word() for _ in range(43)] for _ in range(300)]  # alike at 0.7: no links
+    texts = [" ".join(page + t) for t in tails] + [" ".join(page + t[:22] + [word() for _ in range(21)]) for t in tails[:60]]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert all(alike(i, 300 + i) >= 0.8 for i in range(60)) and all(alike(i, j) < 0.8 for i in range(300) for j in range(i))
+    got = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert set(range(300)) <= got and len(got) <= 301  # of 60 partners
+
+
 def test_signature_is_deterministic():
     h = simhash.shingle_hashes("a b c d e f g h", 5)
     assert simhash.signature(h).tobytes() == simhash.signature(np.array(h)).tobytes() and len(simhash.signature(h).tobytes()) == 32
