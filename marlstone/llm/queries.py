@@ -23,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.corpus_totals(_table(spark, sf_dir, "documents"), VOCABULARY, scratch(spark, "token-rollup"))
+    return tokens.corpus_totals(_table(spark, sf_dir, "documents"), VOCABULARY, scratch(spark, "token-rollup"), copies=True)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

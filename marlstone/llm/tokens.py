@@ -146,12 +146,12 @@ def counted(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
     return docs.select(*cols).mapInArrow(count, f"doc_id {kind}, source string, lang string, copy binary, guess bigint, words bigint, tokens bigint")
 
 
-def corpus_totals(docs: DataFrame, vocabulary: str, root: str, version: str = "byte_bpe_50k") -> DataFrame:
+def corpus_totals(docs: DataFrame, vocabulary: str, root: str, version: str = "byte_bpe_50k", copies: bool = False) -> DataFrame:
     """Totals of a corpus as its batches leave them.
 
     Batch ``load`` inserts every document with its words and, for the BPE tokenizer, a guess from its bytes; ``exact``
-    revises the guesses to the tokenizer's counts; ``copies`` deletes all but the least id of equal texts; then all are
-    sent once more, without effect.
+    revises the guesses to the tokenizer's counts; ``copies`` deletes all but the least id of equal texts, and, with ``copies``, batch
+    ``all`` inserts those again, so that every row counts; then all are sent once more, without effect.
     """
     known = materialize(counted(docs, vocabulary).withColumn("row", F.monotonically_increasing_id()), "counted")
     versions = lambda df, bpe: df.select("source", "lang", F.explode(F.array(F.struct(F.lit("words").alias("tokenizer"), F.col("words").alias("n_tokens")), F.struct(F.lit(version).alias("tokenizer"), F.col(bpe).alias("n_tokens")))).alias("x")).select("source", "lang", "x.*")
@@ -162,6 +162,8 @@ def corpus_totals(docs: DataFrame, vocabulary: str, root: str, version: str = "b
         "exact": known.select("source", "lang", F.lit(version).alias("tokenizer"), F.col("tokens").alias("n_tokens"), F.col("guess").alias("old_n_tokens"), F.lit("revise").alias("op")),
         "copies": versions(surplus, "tokens").withColumn("op", F.lit("delete")),
     }
+    if copies:
+        batches["all"] = versions(surplus, "tokens").withColumn("op", F.lit("insert"))
     rollup = Rollup(docs.sparkSession, root)
     delete_on_exit(docs.sparkSession, root)
     for _ in range(2):

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from marlstone.llm import tokens
+from marlstone.llm import queries, tokens
 
 VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SF = "/root/testdata/sf0.001"
@@ -73,3 +73,13 @@ def test_corpus_totals(spark, tmp_path):
         got = as_dict(tokens.corpus_totals(df, VOCAB, f"file://{tmp_path}/c{i}"))
         assert got == {k: (n, want[1][k]) for k, n in want[0].items()}
     assert tokens.corpus_totals(df.limit(0), VOCAB, f"file://{tmp_path}/empty").count() == 0
+
+
+def test_every_row_counts(spark):
+    enc, want = tokens.encoder(open(VOCAB, "rb").read()), Counter()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        for name, n in (("words", len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))), ("byte_bpe_50k", len(enc.encode_ordinary(r.text or "")))):
+            want[r.source, r.lang, name, "n_docs"] += 1
+            want[r.source, r.lang, name, "n_tokens"] += n
+    got = as_dict(queries.op1_token_counts(spark, SF))
+    assert got == {k[:3]: (n, want[*k[:3], "n_tokens"]) for k, n in want.items() if k[3] == "n_docs"}
