@@ -41,8 +41,8 @@ SEED = 42
 RADIUS = 2
 #: Shards of more fingerprints are split by the bits that their members need not share.
 LARGE_SHARD = 4096
-#: For near copies: words of a shingle, similarity, share of pairs at just that similarity to be found, radius in 64 bits.
-SHINGLE, SIMILARITY, RECALL, WIDE_RADIUS = 5, 0.8, 0.98, 18
+#: For near copies: words of a shingle, similarity, share of pairs at just that similarity to be found, radius in so many bits.
+SHINGLE, SIMILARITY, RECALL, WIDE_RADIUS, WIDE_BITS = 5, 0.8, 0.98, 38, 128
 SIGNATURE_BITS = 256
 #: Choices of which the closest partners are verified first.
 FIRST_CHOICES = 16
@@ -240,7 +240,8 @@ def _choices(texts: int) -> tuple[int, list[list[int]]]:
     k = max(16, math.ceil(math.log2(max(texts, 2) / MEAN_SHARD)))
     agree = 1 - math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
     agree -= math.sqrt(agree * (1 - agree) / SIGNATURE_BITS)  # of a pair whose bits differ more than they should, by a standard deviation
-    count = math.ceil(math.log(1 - RECALL) / math.log(1 - agree**k))
+    beyond = sum(math.comb(WIDE_BITS, i) * (1 - agree) ** i * agree ** (WIDE_BITS - i) for i in range(WIDE_RADIUS + 1, WIDE_BITS + 1))
+    count = math.ceil(math.log(1 - RECALL - beyond) / math.log(1 - agree**k))  # a pair is lost by the choices or by the radius
     dice = random.Random(SEED)
     return k, [dice.sample(range(SIGNATURE_BITS), k) for _ in range(count)]
 
@@ -260,28 +261,27 @@ def near_copies(texts: DataFrame, choices: list[list[int]], closest: bool = Fals
                 raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, SIGNATURE_BITS // 8)
                 bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64)
                 keys = np.stack([bits[:, p] @ power for p in places], axis=1) * len(places) + np.arange(len(places))
-                first = np.ascontiguousarray(raw[:, :8]).view("<i8")[:, 0]
+                low, high = np.ascontiguousarray(raw[:, : WIDE_BITS // 8]).view("<i8").T
                 node = part.column(0).to_numpy(zero_copy_only=False)
                 label = part.column(2).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *(pa.array(np.repeat(x, len(places))) for x in (first, node, label))], names=["shard", "fp", "node", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *(pa.array(np.repeat(x, len(places))) for x in (low, high, node, label))], names=["shard", "low", "high", "node", "label"])
 
-    def nearest(fp: np.ndarray, node: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int]]:
+    def nearest(fp: list[int], node: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int]]:
         tree, of = BKTree(), {}
-        for v, x in zip(fp.tolist(), node.tolist()):
-            v &= _U64
+        for v, x in zip(fp, node.tolist()):
             if (hit := tree.nearest(v, WIDE_RADIUS)) is not None:
                 yield x, of[hit[1]]
             if v not in of:
                 of[v] = x
                 tree.add(v)
 
-    def partners(fp: np.ndarray, node: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int]]:
+    def partners(fp: list[int], node: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int]]:
         # Labels come whole, the largest last, and enter the tree when they are through: no work within a label.
         _, at, sizes = np.unique(label, return_inverse=True, return_counts=True)
-        order = np.lexsort((at, sizes[at])) if len(sizes) > 1 else []
+        order = np.lexsort((at, sizes[at])) if len(sizes) > 1 else np.empty(0, np.int64)
         tree, of, own, last = BKTree(), {}, [], None
-        for v, x, m in zip(fp[order].tolist(), node[order].tolist(), at[order].tolist()):
-            v &= _U64
+        for i, x, m in zip(order, node[order].tolist(), at[order].tolist()):
+            v = fp[i]
             if m != last:
                 for w, y in own:
                     if w not in of:
@@ -299,21 +299,21 @@ def near_copies(texts: DataFrame, choices: list[list[int]], closest: bool = Fals
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = nearest if closest else partners
-        for shard, fp, node, label in _runs(batches):
+        for shard, low, high, node, label in _runs(batches):
             edges = np.flatnonzero(np.diff(shard)) + 1
             starts = np.concatenate(([0], edges))
             sizes = np.diff(np.concatenate((starts, [len(shard)])))
             two = starts[sizes == 2]  # a root and one child
-            bits = fp.view(np.uint64)
-            close = two[(np.bitwise_count(bits[two] ^ bits[two + 1]) <= WIDE_RADIUS) & (label[two] != label[two + 1])]
+            differ = sum(np.bitwise_count(w[two] ^ w[two + 1]) for w in (low.view(np.uint64), high.view(np.uint64)))
+            close = two[(differ <= WIDE_RADIUS) & (label[two] != label[two + 1])]
             if len(close):
                 yield batch(np.stack([node[close], node[close + 1]], axis=1))
             many = zip(starts[sizes > 2], sizes[sizes > 2])
-            found = chain.from_iterable(search(fp[at : at + n], node[at : at + n], label[at : at + n]) for at, n in many)
+            found = chain.from_iterable(search([h << 64 | v for v, h in zip(low[at : at + n].view(np.uint64).tolist(), high[at : at + n].view(np.uint64).tolist())], node[at : at + n], label[at : at + n]) for at, n in many)
             while part := list(islice(found, 200_000)):
                 yield batch(np.array(part, np.int64))
 
-    shards = texts.select("node", "sig", "label").mapInArrow(deal, "shard bigint, fp bigint, node bigint, label bigint")
+    shards = texts.select("node", "sig", "label").mapInArrow(deal, "shard bigint, low bigint, high bigint, node bigint, label bigint")
     return shards.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(trees, "a bigint, b bigint").distinct()
 
 

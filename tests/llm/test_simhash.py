@@ -1,5 +1,6 @@
 """SimHash groups and near copies against all pairs in plain Python."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -142,6 +143,15 @@ def test_partners_in_a_crowd(spark):
     assert set(range(300)) <= got and len(got) <= 301  # of 60 partners
 
 
+def test_recall_counts_the_radius():
+    k, choices = simhash._choices(100_000)
+    width, sim = getattr(simhash, "WIDE_BITS", 64), 2 * simhash.SIMILARITY / (1 + simhash.SIMILARITY)
+    differ = math.acos(sim) / math.pi
+    differ += math.sqrt(differ * (1 - differ) / simhash.SIGNATURE_BITS)
+    beyond = 1 - sum(math.comb(width, i) * differ**i * (1 - differ) ** (width - i) for i in range(simhash.WIDE_RADIUS + 1))
+    assert (1 - (1 - differ) ** k) ** len(choices) + beyond <= 1 - simhash.RECALL
+
+
 def test_signature_is_deterministic():
     h = simhash.shingle_hashes("a b c d e f g h", 5)
     assert simhash.signature(h).tobytes() == simhash.signature(np.array(h)).tobytes() and len(simhash.signature(h).tobytes()) == 32
