@@ -48,6 +48,8 @@ SIGNATURE_BITS = 256
 FIRST_CHOICES = 16
 #: Texts in a shard, on average, from which on keys grow by bits.
 MEAN_SHARD = 16
+#: Shingles of a block of texts that are verified together: 32 MB of hashes.
+BLOCK = 4_000_000
 
 _LOWER = bytes.maketrans(ascii_uppercase.encode(), ascii_lowercase.encode())
 _U64 = (1 << 64) - 1
@@ -317,6 +319,46 @@ def near_copies(texts: DataFrame, choices: list[list[int]], closest: bool = Fals
     return shards.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(trees, "a bigint, b bigint").distinct()
 
 
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """The ``pairs`` (a, b: bigint, distinct) whose ``sets`` (row: bigint, shingles: sorted array<bigint>) have the Jaccard similarity or more.
+
+    A set does not move once for each of its pairs: what pairs join is dealt to blocks of ``block`` shingles on average, a
+    cell is two blocks, and each set moves once to each cell in which it has a pair. So a cell's sets fit in a task.
+    """
+    labels = components(pairs).select(F.col("node").alias("of"), "label")
+    sized = materialize(sets.select("row", F.size("shingles").alias("n")).join(labels, F.col("row") == F.col("of")).select("row", "n", "label"), "sized")
+    totals = sized.groupBy(F.col("label").alias("of")).agg(F.ceil(F.sum("n") / block).alias("blocks"))
+    placed = materialize(sized.join(totals, F.col("label") == F.col("of")).select("row", "label", F.pmod(F.xxhash64("row"), "blocks").alias("block")), "placed")
+    a, b = (placed.select(F.col("row").alias(f"row_{x}"), F.col("label").alias(f"label_{x}"), F.col("block").alias(f"block_{x}")) for x in "ab")
+    cell = F.xxhash64("label_a", F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("cell")
+    dealt = materialize(pairs.join(a, F.col("a") == F.col("row_a")).join(b, F.col("b") == F.col("row_b")).select(cell, "a", "b"), "cells")
+    members = dealt.select("cell", F.explode(F.array("a", "b")).alias("a")).distinct()
+    whole = members.join(sets, F.col("a") == F.col("row")).select("cell", "a", F.lit(None).cast("bigint").alias("b"), "shingles")
+    both = whole.unionByName(dealt.select("cell", "a", "b", F.lit(None).cast("array<bigint>").alias("shingles")))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        now = None
+        for batch in batches:
+            cell, a, values = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+            single = batch.column(2).is_null().to_numpy(zero_copy_only=False)
+            b = batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)
+            found = []
+            for at, c in enumerate(cell.tolist()):
+                if c != now:  # sets come before the pairs of their cell
+                    held, now = {}, c
+                if single[at]:
+                    held[a[at]] = np.array(values[at], np.int64)
+                    continue
+                x, y = held[a[at]], held[b[at]]
+                least = math.ceil(similarity * (len(x) + len(y)) / (1 + similarity) - 1e-6)
+                if min(len(x), len(y)) >= least and len(np.intersect1d(x, y, assume_unique=True)) >= least:
+                    found.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(a[found]), pa.array(b[found])], names=["a", "b"])
+
+    return both.repartition("cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first()).mapInArrow(check, "a bigint, b bigint")
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, with their columns, of which no other stays in the same group of near copies.
 
@@ -350,12 +392,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     _, choices = _choices(texts.count())
 
     def verified(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias(need)).union(pairs.select(F.col("b"))).distinct()
-        sets = materialize(numbered.join(hint_if_small(materialize(needed, "needed"), 500_000), F.col(row) == F.col(need), "left_semi").select(F.col(row), F.col(text)).mapInArrow(shingles, "row bigint, shingles array<bigint>"), "shingles")
-        a, b = (sets.select(F.col("row").alias(f"row_{x}"), F.col("shingles").alias(f"shingles_{x}")) for x in "ab")
-        both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-        alike = pairs.join(a, F.col("a") == F.col("row_a")).join(b, F.col("b") == F.col("row_b")).filter(both >= SIMILARITY * (F.size("shingles_a") + F.size("shingles_b") - both) - 1e-9)
-        return materialize(alike.select("a", "b"), "alike")
+        needed = materialize(pairs.select(F.col("a").alias(need)).union(pairs.select(F.col("b"))).distinct(), "needed")
+        sets = numbered.join(hint_if_small(needed, 500_000), F.col(row) == F.col(need), "left_semi").select(F.col(row), F.col(text)).mapInArrow(shingles, "row bigint, shingles array<bigint>")
+        return materialize(alike(pairs, materialize(sets, "shingles")), "alike")
 
     # Links to the closest join most of a large group, so that no more than its links to others are looked for after that.
     single = texts.filter(F.length("copy") > 0).select("node", "sig")
