@@ -1,8 +1,13 @@
 """The corpus pipeline: its stages in order, and a run over the documents of a folder.
 
 Every stage gets what the one before kept, as a DataFrame with the columns of documents, and gives the same; the last adds
-``shard`` and ``slot``. A stage's result is to be written before the next stage is called, as ``run`` does it in the shared
-folder: a stage begins by deleting the scratch tables of the one before.
+``shard`` and ``slot``. Columns that documents brings besides are kept; nulls, ties, repeated rows, empty tables and very long
+texts are as the stage's operator defines them: null texts are empty and fall to the quality rules, an empty table gives an empty
+one at every stage, repeated rows are one group of near copies, and texts are read whole.
+
+A stage that is called by itself has its result written before the next one is called, as ``run`` does it in the shared folder:
+a stage begins by deleting the scratch tables of those that go before it. What the last one made stays until the session ends,
+as its result still reads it. Each ``run`` keeps account of its own scratch tables, so runs do not disturb one another.
 """
 
 from __future__ import annotations
@@ -17,15 +22,16 @@ from marlstone.llm.shared import drop, materialize, recorded
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-_scratch: list[str] = []
+_scratch: dict[str, list[str]] = {}
 
 
 def stage(f: Stage) -> Stage:
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop(spark, _scratch)
-        _scratch.clear()
-        with recorded(_scratch):
+        order = [g.__name__ for _, g in STAGES]
+        for earlier in order[: order.index(f.__name__)]:
+            drop(spark, _scratch.pop(earlier, []))
+        with recorded(_scratch.setdefault(f.__name__, [])):
             return f(spark, docs, sf_dir)
 
     return run_stage
@@ -70,10 +76,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for i, (_, f) in enumerate(STAGES):
-        docs, written = f(spark, docs, sf_dir), []
-        if i < len(STAGES) - 1:
+        made, written, last = [], [], i == len(STAGES) - 1
+        with recorded(made):
+            docs = f.__wrapped__(spark, docs, sf_dir)
+        if not last:
             with recorded(written):
                 docs = materialize(docs, "stage")
-        drop(spark, before if i < len(STAGES) - 1 else [])  # the last result still reads what came before it
+            drop(spark, [*made, *before])  # the last result still reads what came before it
         before = written
     return docs
