@@ -1,20 +1,22 @@
 """Substring dedup: words covered by passages of WINDOW words that recur anywhere are removed.
 
-1. Confirm recurring passages. A window's anchor is the leftmost least hash among its runs of ANCHOR words, so equal
-   windows have equal anchors at equal places. Windows of one anchor are neighbours; together they are its core. Anchors
-   seen once cannot belong to a recurring window, which leaves a fraction of the corpus. Where a core recurs as a whole,
-   all its windows do. Where it does not, its windows are compared one by one with those of the anchor's other cores.
-2. Compile automata. The confirmed passages of a batch of documents go into Aho-Corasick automata of at most SHARD_CHARS
-   characters each, long passages in pieces that overlap by a window. A corpus has far more passages than a task's memory
-   holds, and each document would have to run through all their automata; so automata are sharded along with the documents,
-   and a passage travels to the documents that hold its anchor.
-3. Stream every document of the batch through its automata; every occurrence of a passage is removed.
-
-Passages are found by 128 bits of hashes (anchor and core, or anchor and window) and located by their characters. What
-travels to the documents is broadcast if it is counted and small, else joined by a shuffle on the texts' hash.
-
-Nulls: a null text has no words. Repeated rows, and equal texts, recur as wholes. Whole texts are read, however long. An
-empty table gives an empty result. Extra columns are ignored.
+1. Segments. A window's anchor is the leftmost least hash among its runs of ANCHOR words, so equal windows have equal anchors
+   at equal places. Windows of one anchor are neighbours; together they are its core. Anchors seen once cannot belong to a
+   recurring window. For each of the others every distinct text gives a segment: the words of the anchor's core.
+2. Confirm passages. A core seen twice is a passage as a whole. Where cores of one anchor differ, their windows are compared
+   by hash, and neighbouring windows that the same cores have make a passage. Each passage is written down once, as words.
+3. Compile automata. Passages are dealt by their anchors to shards of SHARD_CHARS characters, one Aho-Corasick automaton each.
+4. Stream the documents. Each segment goes to the shard of its anchor, which has every passage that can begin with that
+   anchor's windows, and the automaton locates every occurrence. What it locates is removed, and nothing else is. Parts of a
+   document without recurring anchors cannot hold a passage and are not sent.
+
+No passage or segment passes through the driver. A shard that many segments ask for is repeated SLICE segments at a time.
+Passages are found by 128 bits of hashes (anchor and core, or anchor and window) and located by their characters; only words
+over LONG_WORD bytes stand in automata as their 128-bit digests. What is joined to documents is broadcast if its bytes, summed up
+here, are within MOST_BYTES, else joined by a shuffle on the texts' digest.
+
+Nulls: a null text has no words; null ids are ids. Repeated rows, and equal texts, recur as wholes; of equal texts one is
+streamed and all are cut. Whole texts are read, however long. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,15 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hint_if_small, importable, materialize
+from .shared import hint_if_light, importable, materialize
 
 WINDOW = 35
 ANCHOR = 6
 SHARD_CHARS = 1_000_000
-PIECE_WORDS = 2000
-#: Rows beyond which what goes to the documents is joined by shuffle.
-MOST_ROWS = 1_000_000
-MOST_TEXTS = 200_000
+#: Segments that an automaton scans before another task takes the rest.
+SLICE = 50_000
+LONG_WORD = 48
+#: Bytes up to which what goes to the documents is broadcast.
+MOST_BYTES = 32 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -116,129 +119,183 @@ def _longs(parts: list[np.ndarray]) -> pa.Array:
     return pa.array(np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64))
 
 
-def _pieces(words: list[bytes], cover: np.ndarray) -> Iterator[str]:
-    """The covered stretches as strings with a space before, between and after words; long ones in overlapping pieces."""
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], cover, [False])).astype(np.int8)))
-    for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
-        for i in range(s, max(e - WINDOW + 1, s + 1), PIECE_WORDS - WINDOW + 1):
-            yield " " + b" ".join(words[i : min(i + PIECE_WORDS, e)]).decode("utf-8", "surrogatepass") + " "
+def _line(words: list[bytes]) -> str:
+    """Words with a space before, between and after; long ones by digest."""
+    short = [w if len(w) <= LONG_WORD and w[:1] != b"\x01" else b"\x01" + xxhash.xxh3_128_hexdigest(w).encode() for w in words]
+    return " " + b" ".join(short).decode("utf-8", "surrogatepass") + " "
 
 
-def automata(passages: list[str], most_chars: int = SHARD_CHARS) -> Iterator[ahocorasick.Automaton]:
-    """Automata over distinct passages, each of ``most_chars`` characters or one passage."""
-    shard, chars = ahocorasick.Automaton(), 0
+def automaton(passages: set[str]) -> ahocorasick.Automaton:
+    """Finds passages with their lengths in characters and in words."""
+    out = ahocorasick.Automaton()
     for p in passages:
-        if chars and chars + len(p) > most_chars:
-            shard.make_automaton()
-            yield shard
-            shard, chars = ahocorasick.Automaton(), 0
-        shard.add_word(p, len(p))
-        chars += len(p)
-    if chars:
-        shard.make_automaton()
-        yield shard
-
-
-def _located(texts: list[list[bytes]], covers: list[np.ndarray]) -> list[np.ndarray]:
-    """Which words of each text lie in an occurrence of a passage of any of them."""
-    passages = sorted({p for words, cover in zip(texts, covers) if cover.any() for p in _pieces(words, cover)})
-    out = [np.zeros(len(w) + 1, np.int64) for w in texts]
-    for shard in automata(passages):
-        for words, marks in zip(texts, out):
-            if len(words) < WINDOW:
-                continue
-            line = " " + b" ".join(words).decode("utf-8", "surrogatepass") + " "
-            hits = np.array([(end - size + 1, end) for end, size in shard.iter(line)], np.int64).reshape(-1, 2)
-            if len(hits):
-                lengths = np.array([len(w.decode("utf-8", "surrogatepass")) + 1 for w in words])
-                starts = np.concatenate(([0], np.cumsum(lengths)))  # of the space before each word
-                np.add.at(marks, np.searchsorted(starts, hits[:, 0]), 1)
-                np.add.at(marks, np.searchsorted(starts, hits[:, 1]), -1)
-    return [np.cumsum(m[:-1]) > 0 for m in out]
-
-
-def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept_sha256, kept_text."""
-    importable(docs.sparkSession)
-    kind = docs.schema[doc_id].dataType.simpleString()
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+        out.add_word(p, (len(p), p.count(" ") - 1))
+    out.make_automaton()
+    return out
+
+
+def locate(shard: ahocorasick.Automaton, segment: str) -> Iterator[tuple[int, int]]:
+    """(first word, end) of every occurrence of a passage."""
+    for last, (size, n) in shard.iter(segment):
+        first = segment.count(" ", 0, last - size + 1)
+        yield first, first + n
+
+
+def _windows(line: str, window: int = WINDOW) -> np.ndarray:
+    """A hash of each window of a segment."""
+    words = line.split(" ")[1:-1]
+    up, down = Powers.to(len(words) + 1)
+    h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(h * up[: len(words)])))
+    at = np.arange(len(words) - window + 1)
+    return _mix((sums[at + window] - sums[at]) * down[at])
+
+
+def segments(docs: DataFrame, kind: str) -> DataFrame:
+    """``docs`` (doc_id, text, copy) to the segments of distinct texts: h (anchor), core, lead (windows before the one that begins
+
+    with the anchor), copy (digest of the text), n (rows with that text), a (first word), line (the words).
+    """
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            found = [Text(_raw(t)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([_longs([x.hash for x in found if len(x.p)])], names=["h"])
+            found = [Text(_raw(t)) for t in batch.column(1).to_pylist()]
+            of = np.repeat(np.arange(len(found)), [len(x.p) for x in found])
+            yield pa.RecordBatch.from_arrays([_longs([x.hash for x in found if len(x.p)]), batch.column(0).take(pa.array(of)), batch.column(2).take(pa.array(of)), _longs([x.p for x in found]).cast(pa.int32())], names=["h", "doc_id", "copy", "p"])
 
-    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            raws = [_raw(t) for t in batch.column(0).to_pylist()]
-            found = [(r, x) for r, x in ((r, Text(r)) for r in raws) if len(x.p)]
-            copy = [c for r, x in found for c in [xxhash.xxh3_128_digest(r)] * len(x.p)]
-            yield pa.RecordBatch.from_arrays([_longs([x.hash for _, x in found]), _longs([x.cores() for _, x in found]), pa.array(copy, pa.binary()), _longs([x.p for _, x in found]).cast(pa.int32())], names=["h", "core", "copy", "p"])
-
-    recurring = materialize(texts.select("text").mapInArrow(anchors, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("h").alias("of_h")), "recurring")
-    seen = texts.select("text").mapInArrow(cores, "h bigint, core bigint, copy binary, p int")
-    seen = materialize(seen.join(hint_if_small(recurring, MOST_ROWS), F.col("h") == F.col("of_h"), "left_semi"), "anchors")
+            h, core, lead, at, lines, of = [], [], [], [], [], []
+            for i, (t, places) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist())):
+                x = Text(_raw(t))
+                k = np.flatnonzero(np.isin(x.p, np.array(places, np.int64)))
+                h.append(x.hash[k])
+                core.append(x.cores()[k])
+                lead.append((x.p - x.a)[k])
+                at.append(x.a[k])
+                lines += [_line(x.words[u : v + WINDOW]) for u, v in zip(x.a[k].tolist(), x.b[k].tolist())]
+                of += [i] * len(k)
+            take = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([_longs(h), _longs(core), _longs(lead).cast(pa.int32()), batch.column(1).take(take), batch.column(2).take(take), _longs(at).cast(pa.int32()), pa.array(lines, pa.string())], names=["h", "core", "lead", "copy", "n", "a", "line"])
+
+    known = materialize(docs.mapInArrow(anchors, f"h bigint, doc_id {kind}, copy binary, p int"), "anchors")
+    recurring = materialize(known.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("h").alias("of_h")), "recurring")
+    marks = known.join(hint_if_light(recurring, F.lit(8), MOST_BYTES), F.col("h") == F.col("of_h"), "left_semi")
+    marks = marks.groupBy(F.col("copy").alias("m_copy")).agg(F.collect_set("p").alias("places"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"))).alias("least"), F.count(F.lit(1)).alias("n"))
+    marks = materialize(marks.select("m_copy", "places", F.col("least.id").alias("least"), (F.col("n") / F.size("places")).cast("bigint").alias("n")), "marks")
+    whole = docs.join(hint_if_light(marks, 48 + 4 * F.size("places"), MOST_BYTES), (F.col("copy") == F.col("m_copy")) & F.col("doc_id").eqNullSafe(F.col("least")))
+    return materialize(whole.select("text", "copy", "n", "places").mapInArrow(cut, "h bigint, core bigint, lead int, copy binary, n bigint, a int, line string"), "segments")
+
+
+def passages(parts: DataFrame) -> DataFrame:
+    """Of segments, the passages that recur: h, line. A passage may be given more than once."""
 
-    by_core = seen.groupBy("h", "core").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("copy", "p")).alias("least"))
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches, 4096):
+            h, core, lead, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            w = [_windows(x) for x in batch.column(4).to_pylist()]
+            of = np.repeat(np.arange(len(w)), [len(x) for x in w])
+            back = np.concatenate([k - np.arange(len(x)) for k, x in zip(lead, w)]) if w else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h[of]), _longs(w), pa.array(core[of]), pa.array(back.astype(np.int32)), pa.array(n[of])], names=["h", "w", "core", "back", "n"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, out = [], []
+            for anchor, lead, line, found in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                words = line.split(" ")[1:-1]
+                starts = sorted((lead - x["back"], x["holders"], x["cores"]) for x in found)
+                at = 0
+                for i in range(1, len(starts) + 1):
+                    if i == len(starts) or starts[i] != (starts[i - 1][0] + 1, *starts[i - 1][1:]):
+                        h.append(anchor)
+                        out.append(" " + " ".join(words[starts[at][0] : starts[i - 1][0] + WINDOW]) + " ")
+                        at = i
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(out, pa.string())], names=["h", "line"])
+
+    by_core = parts.groupBy("h", "core").agg(F.sum("n").alias("n"), F.min(F.struct("copy", "a")).alias("least"))
     by_anchor = by_core.groupBy(F.col("h").alias("a_h")).agg(F.count(F.lit(1)).alias("cores"), F.min("n").alias("rarest"))
     state = by_core.join(by_anchor, F.col("h") == F.col("a_h")).select(
-        F.col("h").alias("s_h"), F.col("core").alias("s_core"), (F.col("n") > 1).alias("whole"), "least", ((F.col("cores") > 1) & (F.col("rarest") == 1)).alias("compare"))
-    state = materialize(state, "cores")
-    stated = seen.join(state, (F.col("h") == F.col("s_h")) & (F.col("core") == F.col("s_core")))
-    first = F.struct("copy", "p") == F.col("least")
-    marks = stated.select("copy", "p", "whole", (F.col("compare") & first).alias("compare")).filter(F.col("whole") | F.col("compare"))
-    marks = marks.groupBy("copy").agg(F.collect_set(F.when(F.col("whole"), F.col("p"))).alias("whole"), F.collect_set(F.when(F.col("compare"), F.struct("p", "whole"))).alias("compare"))
-    marks = materialize(marks.withColumnRenamed("copy", "m_copy"), "marks")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        F.col("h").alias("s_h"), F.col("core").alias("s_core"), F.col("n").alias("s_n"), F.col("least.copy").alias("s_copy"), F.col("least.a").alias("s_a"), ((F.col("cores") > 1) & (F.col("rarest") == 1)).alias("compare"))
+    state = state.filter((F.col("s_n") > 1) | F.col("compare"))
+    mine = (F.col("h") == F.col("s_h")) & (F.col("core") == F.col("s_core")) & (F.col("copy") == F.col("s_copy")) & (F.col("a") == F.col("s_a"))
+    firsts = materialize(parts.join(state, mine).select("h", "core", "lead", F.col("s_n").alias("n"), "line", "compare"), "cores")
+
+    seen = materialize(firsts.filter("compare").select("h", "core", "lead", "n", "line").mapInArrow(windows, "h bigint, w bigint, core bigint, back int, n bigint"), "windows")
+    shared = seen.groupBy("h", "w").agg(F.sum("n").alias("n"), F.min("n").alias("rarest"), F.count(F.lit(1)).alias("cores"), F.bit_xor(F.xxhash64("core")).alias("holders"), F.min("core").alias("owner"), F.min("back").alias("back"))
+    shared = shared.filter((F.col("n") > 1) & (F.col("rarest") == 1))  # those of whole cores only lie in whole passages
+    runs = shared.groupBy(F.col("h").alias("r_h"), "owner").agg(F.collect_list(F.struct("back", "holders", "cores")).alias("found"))
+    cuts = firsts.join(runs, (F.col("h") == F.col("r_h")) & (F.col("core") == F.col("owner"))).select("h", "lead", "line", "found").mapInArrow(cut, "h bigint, line string")
+    return materialize(firsts.filter("n > 1").select("h", "line").unionByName(cuts), "passages")
+
+
+def occurrences(parts: DataFrame, known: DataFrame, shard_chars: int = SHARD_CHARS, slice_: int = SLICE) -> DataFrame:
+    """Where the automata find passages (``known``: h, line) in segments: copy, spans (first word and end of each stretch, in turn)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, now = None, set(), None
         for batch in batches:
-            copy = [xxhash.xxh3_128_digest(_raw(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copy, pa.binary())], names=["doc_id", "text", "copy"])
+            out = []
+            for g, copy, a, line in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if g != now:  # a shard's passages come before its segments
+                    shard, held, now = None, set(), g
+                if copy is None:
+                    held.add(line)
+                    continue
+                if shard is None:
+                    shard, held = automaton(held), set()
+                out += [(copy, a + i, a + j) for i, j in locate(shard, line)]
+            copies, first, end = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(copies, pa.binary()), pa.array(first, pa.int32()), pa.array(end, pa.int32())], names=["copy", "first", "end"])
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
-            h, w, copy, at, own = [], [], [], [], []
-            for t, c, compare in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                x, places = Text(_raw(t)), {m["p"]: m["whole"] for m in compare}
-                for i in np.flatnonzero(np.isin(x.p, list(places))):
-                    j = np.arange(x.a[i], x.b[i] + 1)
-                    h.append(np.full(len(j), x.hash[i]))
-                    w.append(x.runs(j, WINDOW))
-                    at.append(j)
-                    copy += [c] * len(j)
-                    own += [not places[int(x.p[i])]] * len(j)
-            yield pa.RecordBatch.from_arrays([_longs(h), _longs(w), pa.array(copy, pa.binary()), _longs(at).cast(pa.int32()), pa.array(own, pa.bool_())], names=["h", "w", "copy", "at", "single"])
-
-    known = texts.mapInArrow(hashed, f"doc_id {kind}, text string, copy binary")
-    some = marks.filter(F.size("compare") > 0).select("m_copy", "compare")
-    compared = known.join(hint_if_small(some, MOST_TEXTS), F.col("copy") == F.col("m_copy")).select("text", "copy", "compare")
-    compared = materialize(compared.mapInArrow(windows, "h bigint, w bigint, copy binary, at int, single boolean"), "windows")
-    twice = compared.groupBy(F.col("h").alias("t_h"), F.col("w").alias("t_w")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    single = compared.filter("single").join(twice, (F.col("h") == F.col("t_h")) & (F.col("w") == F.col("t_w")), "left_semi")
-    starts = single.groupBy(F.col("copy").alias("w_copy")).agg(F.collect_set("at").alias("starts"))
-    places = marks.select("m_copy", "whole").join(starts, F.col("m_copy") == F.col("w_copy"), "left")
-    places = materialize(places.select("m_copy", "whole", F.coalesce("starts", F.array().cast("array<int>")).alias("starts")).filter((F.size("whole") > 0) | (F.size("starts") > 0)), "places")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for found in batch.column(1).to_pylist():
+                merged: list[int] = []
+                for x in sorted((x["first"], x["end"]) for x in found):
+                    if merged and x[0] <= merged[-1]:
+                        merged[-1] = max(merged[-1], x[1])
+                    else:
+                        merged += x
+                out.append(merged)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["copy", "spans"])
+
+    asked = parts.groupBy(F.col("h").alias("p_h")).agg(F.count(F.lit(1)).alias("asked"))
+    routes = known.groupBy(F.col("h").alias("r_h")).agg(F.sum(F.length("line")).alias("chars")).join(asked, F.col("r_h") == F.col("p_h"))
+    routes = materialize(routes.select("r_h", "chars", F.ceil(F.col("asked") / slice_).cast("int").alias("copies")), "routes")
+    shards = max(1, -(-(routes.agg(F.sum(F.col("chars") * F.col("copies"))).first()[0] or 0) // shard_chars))
+    shard = F.pmod(F.xxhash64("h", "salt"), F.lit(shards)).alias("g")
+    few = hint_if_light(routes, F.lit(24), MOST_BYTES)
+    given = known.join(few, F.col("h") == F.col("r_h")).select("h", "line", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+    given = given.select(shard, F.lit(None).cast("binary").alias("copy"), F.lit(None).cast("int").alias("a"), "line")
+    sent = parts.join(few, F.col("h") == F.col("r_h")).withColumn("salt", F.pmod(F.xxhash64("copy", "a"), F.col("copies")).cast("int")).select(shard, "copy", "a", "line")
+    dealt = given.unionByName(sent).repartition("g").sortWithinPartitions("g", F.col("copy").asc_nulls_first())
+    found = materialize(dealt.mapInArrow(scan, "copy binary, first int, end int"), "found")
+    return materialize(found.groupBy("copy").agg(F.collect_list(F.struct("first", "end")).alias("found")).mapInArrow(merge, "copy binary, spans array<int>"), "places")
+
+
+def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_chars: int = SHARD_CHARS, slice_: int = SLICE) -> DataFrame:
+    """Per row: doc_id, n_words, n_removed, kept_sha256, kept_text."""
+    importable(docs.sparkSession)
+    kind = docs.schema[doc_id].dataType.simpleString()
+    whole = F.coalesce(F.col(text), F.lit(""))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.unhex(F.md5(whole)).alias("copy"))
+    parts = segments(texts, kind)
+    places = occurrences(parts, passages(parts), shard_chars, slice_).withColumnRenamed("copy", "p_copy")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
-            lines, covers = [], []
-            for t, whole, begin in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
-                if not whole and not begin:
-                    lines.append(_raw(t).split())
-                    covers.append(np.zeros(len(lines[-1]), bool))
-                    continue
-                x = Text(_raw(t))
-                steps = np.zeros(len(x.words) + 1, np.int64)
-                i = np.flatnonzero(np.isin(x.p, whole))
-                np.add.at(steps, np.concatenate((x.a[i], begin)).astype(np.int64), 1)
-                np.add.at(steps, np.concatenate((x.b[i], begin)).astype(np.int64) + WINDOW, -1)
-                lines.append(x.words)
-                covers.append(np.cumsum(steps[:-1]) > 0)
-            gone = _located(lines, covers)
-            kept = [b" ".join([w for w, out in zip(words, g.tolist()) if not out]) if g.any() else b" ".join(words) for words, g in zip(lines, gone)]
+            sizes, gone, kept = [], [], []
+            for t, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                words = _raw(t).split()
+                sizes.append(len(words))
+                edges = [0, *(spans or ()), len(words)]
+                left = [w for i in range(0, len(edges), 2) for w in words[edges[i] : edges[i + 1]]]
+                gone.append(len(words) - len(left))
+                kept.append(b" ".join(left))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(x) for x in lines], pa.int64()), pa.array([int(g.sum()) for g in gone], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array([k.decode("utf-8", "replace") for k in kept], pa.string())],
+                [part.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array([k.decode("utf-8", "replace") for k in kept], pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    whole = known.join(hint_if_small(places, MOST_TEXTS), F.col("copy") == F.col("m_copy"), "left").select("doc_id", "text", "whole", "starts")
-    return whole.mapInArrow(finish, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    out = texts.join(hint_if_light(places, 48 + 4 * F.size("spans"), MOST_BYTES), F.col("copy") == F.col("p_copy"), "left").select("doc_id", "text", "spans")
+    return out.mapInArrow(finish, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")

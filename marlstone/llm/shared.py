@@ -131,6 +131,11 @@ def hint_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def hint_if_light(df: DataFrame, size: Column, most_bytes: int) -> DataFrame:
+    """``df`` with a broadcast hint if its rows' bytes (``size``, an estimate for a row), summed up here, are within the bound."""
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("bigint"))).first()[0] or 0) <= most_bytes else df
+
+
 def running_totals(df: DataFrame, groups: Sequence[str], order: Sequence[str], weight: Column, name: str, out: tuple[str, str]) -> DataFrame:
     """Each row's place in its group, and the weight of the group's rows before it, without a task that gathers a group.
 

@@ -5,8 +5,8 @@ import random
 import re
 from collections import Counter
 
-import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import phrases
 
@@ -51,9 +51,8 @@ def test_removed(spark, which, monkeypatch):
     want = brute(texts)
     for small in (True, False):
         if not small:
-            monkeypatch.setattr(phrases, "MOST_TEXTS", 0)
-            monkeypatch.setattr(phrases, "MOST_ROWS", 0)
-        got = {r.doc_id: tuple(r)[1:] for r in phrases.removed(docs).collect()}
+            monkeypatch.setattr(phrases, "MOST_BYTES", 0)
+        got = {r.doc_id: tuple(r)[1:] for r in (phrases.removed(docs) if small else phrases.removed(docs, shard_chars=5000, slice_=2)).collect()}
         assert len(got) == len(texts)
         assert {i: got[i] for i in got if got[i] != want[i]} == {}
 
@@ -65,9 +64,32 @@ def test_ids_and_empty(spark):
     assert phrases.removed(docs.limit(0)).count() == 0
 
 
-def test_automata_are_sharded():
-    words = [f"w{i}".encode() for i in range(5000)]
-    pieces = list(phrases._pieces(words, np.ones(5000, bool)))
-    assert len(pieces) == 3 and all(p[0] == p[-1] == " " for p in pieces)
-    assert len(list(phrases.automata(pieces, 20_000))) > 1
-    assert phrases._located([words], [np.ones(5000, bool)])[0].all()
+def test_only_automata_find_words(spark, monkeypatch):
+    """Without the passages of one stretch its words stay, in every document; without any passage all words do."""
+    dice = random.Random(1)
+    run = lambda n: [f"w{dice.randrange(10**6)}" for _ in range(n)]
+    p, q = run(40), run(50)
+    docs = spark.createDataFrame([(i, " ".join(run(20) + p + run(20) + q + run(i))) for i in range(5)], "doc_id long, text string")
+    assert {r.n_removed for r in phrases.removed(docs).collect()} == {90}
+    every = phrases.passages
+    monkeypatch.setattr(phrases, "passages", lambda parts: every(parts).filter(~F.contains("line", F.lit(f" {q[0]} "))))
+    assert all(40 < r.n_removed < 90 for r in phrases.removed(docs).collect())
+    monkeypatch.setattr(phrases, "passages", lambda parts: every(parts).limit(0))
+    assert {r.n_removed for r in phrases.removed(docs).collect()} == {0}
+
+
+def test_locate():
+    line = " " + " ".join(f"w{i}" for i in range(100)) + " "
+    shard = phrases.automaton({" w3 w4 w5 ", " w4 w5 ", " w98 w99 ", " w0 ", " 3 w4 "})
+    assert sorted(phrases.locate(shard, line)) == [(0, 1), (3, 6), (4, 6), (98, 100)]
+
+
+def test_long_words(spark):
+    """Words longer than automata hold, a hot passage and very long texts."""
+    long = [f"{i}" + "x" * 100_000 for i in range(40)]
+    other = [*long[:-1], long[-1] + "y"]
+    same = " ".join(f"s{i}" for i in range(40))
+    big = " ".join(f"b{i}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(other)), (3, big + " tail"), (4, "head " + big), *((10 + i, f"u{i} {same} v{i}") for i in range(50))], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in phrases.removed(docs, slice_=10).collect()}
+    assert got == {1: 39, 2: 39, 3: 100_000, 4: 100_000, **{10 + i: 40 for i in range(50)}}
