@@ -12,8 +12,8 @@ from .shared import scratch
 
 #: The tokenizer's vocabulary of ranks, of the box; not a part of this repository.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Names that put a host on the list of op6.
-LISTED = r"(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)"
+#: op6: no table holds a block list, so that of the query is three sixteenths of all urls, by the first digit of their MD5.
+LISTED = "3"
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -45,8 +45,8 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    host, _ = urls.host_and_path(F.col("url"))
-    return urls.judge(pages, pages.select(host.alias("key")).filter(F.col("key").rlike(LISTED)).distinct())
+    keys = pages.select(F.concat(*urls.host_and_path(F.col("url"))).alias("key"))
+    return urls.judge(pages, keys.filter((F.col("key") != "") & (F.substring(F.md5("key"), 1, 1) < LISTED)).distinct())
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +111,7 @@ ORACLE_SQL["op6_url_filters"] = rf"""
 WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS raw, coalesce(rest, '') AS rest FROM r),
 p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, len(raw) + 1), '^[^?#]*') AS path FROM h),
-x AS (SELECT *, '.' || host AS dotted, regexp_matches(host, '{LISTED}') AS listed FROM p),
+x AS (SELECT *, '.' || host AS dotted, host || path <> '' AND substr(md5(host || path), 1, 1) < '{LISTED}' AS listed FROM p),
 y AS (SELECT *, CASE WHEN dotted LIKE '%.www.example.com' AND path LIKE '/en/%' THEN 'www.example.com/en/' WHEN dotted LIKE '%.example.com' AND path LIKE '/en/%' THEN 'example.com/en/'
   WHEN dotted LIKE '%.net' AND path LIKE '/es/%' THEN 'net/es/' WHEN dotted LIKE '%.net' AND path LIKE '/fr/%' THEN 'net/fr/' WHEN dotted LIKE '%.com' AND path LIKE '/%' THEN 'com/' END AS rule FROM x)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL OR listed THEN 'block' ELSE 'allow' END AS verdict, listed FROM y"""

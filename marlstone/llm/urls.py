@@ -1,4 +1,4 @@
-"""URL filters: rules by host suffix and path prefix, and a Bloom filter cascade over listed hosts.
+"""URL filters: rules by host suffix and path prefix, and a Bloom filter cascade over listed urls (host and path).
 
 The cascade gives exact membership for every key of the universe it was built over: level 1 encodes the listed keys, level
 2 those other keys that pass level 1, level 3 the listed keys that pass level 2, and so on until nothing passes wrongly.
@@ -7,7 +7,8 @@ and read as scalar subqueries, so judging joins nothing. The bytes of all levels
 list beyond that is judged by an exact left join instead.
 
 Nulls: a null url, or one without ``://``, has an empty host and path; no rule fits it and it is never listed (allow).
-Repeated rows are judged alike. Empty tables and empty lists give their plain results. Extra columns are ignored.
+Repeated rows are judged alike. Very long urls are read whole. Empty tables and empty lists give their plain results. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -101,13 +102,14 @@ class Cascade:
 
 
 def judge(pages: DataFrame, listed: DataFrame, page_id: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """Per row: page_id, host, path, rule, verdict, listed. ``listed`` has hosts in column ``key``; a rule goes before the list."""
+    """Per row: page_id, host, path, rule, verdict, listed. ``listed`` has host and path in column ``key``; a rule goes before the list."""
     host, path = host_and_path(F.col(url))
     split = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
-    cascade = Cascade(split.select(F.col("host").alias("key")).distinct(), listed, most_bytes)
+    of = F.concat("host", "path")
+    cascade = Cascade(split.select(of.alias("key")).distinct(), listed, most_bytes)
     if cascade.exact:
-        split = split.join(cascade.listed, F.col("host") == F.col("key"), "left").withColumn("listed", F.col("key").isNotNull())
+        split = split.join(cascade.listed, of == F.col("key"), "left").withColumn("listed", F.col("key").isNotNull())
     else:
-        split = split.withColumn("listed", cascade.contains(F.col("host")))
+        split = split.withColumn("listed", cascade.contains(of))
     rule, action = ruled(F.col("host"), F.col("path"), rules)
     return split.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")

@@ -107,7 +107,7 @@ def test_urls(spark):
     us = [None, "", "no scheme", "http://", "HTTP://A.COM", "http://Com/", "https://x.example.com/en/1", "https://www.example.com/en/?q", "https://example.com?x/en/", "http://É.NET/es/x#y", "http://notnet/es/", *many]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(us)], "page_id long, url string, verdict string")
     bad = {f"h{i}.bad{i % 3}.org" for i in range(3000) if i % 3 == 0}
-    listed = spark.createDataFrame([(h,) for h in sorted(bad)] * 2 + [("elsewhere",), (None,)], "key string")
+    listed = spark.createDataFrame([(h + "/x",) for h in sorted(bad)] * 2 + [("elsewhere",), (None,)], "key string")
     for most in (urls.MOST_BYTES, 10):
         got = {r.page_id: r for r in urls.judge(pages, listed, most_bytes=most).collect()}
         assert len(got) == len(us)
@@ -121,6 +121,18 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judge(pages.filter("page_id > 10"), listed.limit(0)).collect()} == {"allow"}
 
 
+def test_cascade_levels(spark):
+    """Every key of the universe is judged rightly, false positives of the first level included; without the deeper levels some are not."""
+    keys = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    listed = keys.filter(F.substring(F.md5("key"), 1, 1) < "3")
+    cascade = urls.Cascade(keys, listed)
+    assert len(cascade.levels) >= 4 and not cascade.exact
+    truth = {r.key for r in listed.collect()}
+    assert {r.key for r in keys.filter(cascade.contains(F.col("key"))).collect()} == truth
+    cascade.levels = cascade.levels[:1]
+    assert {r.key for r in keys.filter(cascade.contains(F.col("key"))).collect()} > truth
+
+
 def contained(docs, items):
     def grams(t, n):
         w = word((t or "").lower())
@@ -145,6 +157,8 @@ def test_decontam(spark):
     it = spark.createDataFrame([(*r, 0) for r in items], "item_id long, text string, doc_id int")
     cols = ("doc_id", "item_id", "n_shared", "n_item")
     assert Counter(tuple(r[c] for c in cols) for r in decontam.leaks(d, it).collect()) == contained(docs, items)
+    plain = decontam.search(d, it, {"doc_id": F.col("doc_id")}, most_bytes=0)  # neither bit array nor broadcast
+    assert Counter(tuple(r[c] for c in cols) for r in plain.collect()) == contained(docs, items)
     left = decontam.clean(d, it)
     assert left.columns == d.columns and sorted(r.doc_id for r in left.collect()) == [4, 5, 6, 8] if contained([(4, docs[3][1])], items) == {} else True
     assert decontam.leaks(d.limit(0), it).count() == 0 and decontam.leaks(d, it.limit(0)).count() == 0 and decontam.clean(d, it.limit(0)).count() == len(docs)
