@@ -3,13 +3,15 @@
 The pattern of a text is the set of sources that hold it. Documents are aggregated by pattern and source; a min-cost flow
 routes the words of patterns to the sources' quotas, with costs that grow with every repetition of a text, whichever
 source takes it. So a source first takes what only it has, and shared or repeated texts last. Each pattern and source then
-takes its share in the order of a seeded hash: whole documents, none more than twice its size.
+takes its share in the order of a seeded hash: whole documents, none more than twice its size. What whole documents leave of
+a quota is filled with the largest others that fit.
 
-The flow runs on the driver over patterns, not documents. Patterns beyond the MOST_PATTERNS of most words are split into
-patterns of one source each; all their documents stay in the mix. Sums and places are computed by DataFrame operations,
-and no task gathers a source.
+The flow runs on the driver over patterns, not documents: a row for each pattern that occurs and each of its members, and for
+each source. More than MOST_CELLS of them are an error, never cut. Sums and places are computed by DataFrame operations, and
+no task gathers a source.
 
 Nulls: a null source is a source, the last; a null text has no words and takes none. Repeated rows each have their size.
+Equal documents are interchangeable; ties in the seeded order go by id and size. Whole texts are measured, however long.
 Sources without words have target 0. An empty table gives an empty result. Extra columns are ignored by ``mix`` and kept
 by ``mixed_documents``.
 """
@@ -31,7 +33,10 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 PASSES = 2
 SEED = 2024
-MOST_PATTERNS = 1000
+#: Sources, and pairs of a pattern and a member, that the driver's flow takes.
+MOST_CELLS = 2_000_000
+#: Rounds in which what is left of quotas is filled up.
+FILLS = 3
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = PASSES) -> list[float]:
@@ -70,60 +75,71 @@ def _measured(docs: DataFrame, key: str, doc_id: str, text: str, source: str, se
     return docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(measure, f"key {kind}, source string, size bigint, copy binary, turn bigint")
 
 
+def _rows(df: DataFrame) -> list:
+    """The rows of an aggregate by source, or by pattern and source."""
+    rows = df.take(MOST_CELLS + 1)
+    if len(rows) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} sources, or members of patterns of sources: the flow does not fit the driver")
+    return rows
+
+
 def _taken(measured: DataFrame) -> DataFrame:
     """``measured`` with source_size, target, taken."""
     spark = measured.sparkSession
-    sums = {r[0]: r[1] for r in measured.groupBy("source").agg(F.sum("size")).collect()}  # a row for each source
+    sums = {r[0]: r[1] for r in _rows(measured.groupBy("source").agg(F.sum("size")))}
     order = sorted(sums, key=lambda s: (s is None, s or ""))
     target = dict(zip(order, targets([sums[s] for s in order])))
     table = spark.createDataFrame([(i, s, sums[s], float(target[s])) for i, s in enumerate(order)], "sid int, of string, source_size bigint, target double")
-    named = materialize(measured.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("of")), "left").drop("of"), "sourced")
+    named = materialize(measured.join(hint_if_small(table, 200_000), F.col("source").eqNullSafe(F.col("of")), "left").drop("of"), "sourced")
 
     held = named.filter("size > 0").groupBy("copy", "sid").agg(F.max("size").alias("unit"))
-    shared = held.groupBy("copy").agg(F.sort_array(F.collect_set("sid")).alias("members"), F.max("unit").alias("unit")).filter(F.size("members") > 1)
+    shared = held.groupBy("copy").agg(F.sort_array(F.collect_set("sid")).alias("members")).filter(F.size("members") > 1)
     shared = materialize(shared.select(F.col("copy").alias("of_copy"), F.array_join("members", ",").alias("pattern")), "shared")
-    own = F.col("sid").cast("string")
-    sorted_ = named.join(hint_if_small(shared, 200_000), F.col("copy") == F.col("of_copy"), "left").withColumn("pattern", F.coalesce("pattern", own)).drop("of_copy")
-    by_pattern = sorted_.groupBy("pattern").agg(F.sum("size").alias("words"))
-    top = by_pattern.filter(F.contains("pattern", F.lit(","))).orderBy(F.desc("words"), "pattern").limit(MOST_PATTERNS).select(F.col("pattern").alias("kept"))
-    sorted_ = materialize(sorted_.join(F.broadcast(top), F.col("pattern") == F.col("kept"), "left").withColumn("pattern", F.coalesce("kept", own)).drop("kept"), "patterns")
+    sorted_ = named.join(hint_if_small(shared, 200_000), F.col("copy") == F.col("of_copy"), "left").withColumn("pattern", F.coalesce("pattern", F.col("sid").cast("string"))).drop("of_copy")
+    sorted_ = materialize(sorted_, "patterns")
 
     texts = sorted_.groupBy("pattern", "copy").agg(F.max("size").alias("unit")).groupBy("pattern").agg(F.sum("unit").alias("unit"))
-    units = {r[0]: r[1] for r in texts.collect()}  # sources and MOST_PATTERNS at most
+    units = {r[0]: r[1] for r in _rows(texts)}
     has: dict[str, dict[int, int]] = {}
-    for r in sorted_.groupBy("pattern", "sid").agg(F.sum("size").alias("words")).collect():  # the same, by member
+    for r in _rows(sorted_.groupBy("pattern", "sid").agg(F.sum("size").alias("words"))):
         has.setdefault(r["pattern"], {})[r["sid"]] = r["words"]
     quotas = {i: round(target[s]) for i, s in enumerate(order)}
     names = sorted(p for p in has if units[p])
     routed = flow.route([(units[p], {i: w for i, w in has[p].items() if w}) for p in names], quotas, PASSES)
     goal = {(p, i): f for p, of in zip(names, routed) for i, f in of.items()}
 
-    cls = {x: n for n, x in enumerate(sorted((p, i) for p in has for i in has[p]))}
-    classes = spark.createDataFrame([(n, p, i) for (p, i), n in cls.items()], "class int, c_pattern string, c_sid int")
-    placed = materialize(running_totals(
-        sorted_.join(F.broadcast(classes), (F.col("pattern") == F.col("c_pattern")) & (F.col("sid") == F.col("c_sid"))).drop("c_pattern", "c_sid", "copy", "pattern"),
-        ["class"], ["turn", "key", "size"], F.col("size"), "mix", ("place", "before")), "placed")
-
-    def shares(goals: dict[tuple[str, int], int]) -> DataFrame:
-        rows = []
-        for x, n in cls.items():
-            have, want = has[x[0]][x[1]], goals.get(x, 0)
-            rows.append((n, want // have if have else 0, want % have if have else 0))
-        return spark.createDataFrame(rows, "s_class int, times bigint, rest bigint")
-
-    def select(goals: dict[tuple[str, int], int]) -> DataFrame:
-        more = (2 * (F.col("rest") - F.col("before")) >= F.col("size")) & (F.col("rest") > F.col("before"))
-        return placed.join(F.broadcast(shares(goals)), F.col("class") == F.col("s_class"), "left").withColumn("taken", F.col("size") * (F.col("times") + more.cast("bigint")))
-
-    # Whole documents miss each goal by a little; the largest class of a source makes up for the others.
-    got = {r["class"]: r["taken"] for r in select(goal).groupBy("class").agg(F.sum("taken").alias("taken")).collect()}
-    for i in quotas:
-        own_classes = [x for x in cls if x[1] == i]
-        main = max(own_classes, key=lambda x: (has[x[0]][x[1]], x), default=None)
-        if main and has[main[0]][i]:
-            rest = quotas[i] - sum(got.get(cls[x], 0) for x in own_classes if x != main)
-            goal[main] = min(max(rest, 0), PASSES * has[main[0]][i])
-    return select(goal).select("key", "size", "source_size", "target", "taken")
+    cells = [(n, p, i, goal.get((p, i), 0) // max(has[p][i], 1), goal.get((p, i), 0) % max(has[p][i], 1)) for n, (p, i) in enumerate(sorted((p, i) for p in has for i in has[p]))]
+    classes = spark.createDataFrame(cells, "class int, c_pattern string, c_sid int, times bigint, rest bigint")
+    of_class = (F.col("pattern") == F.col("c_pattern")) & (F.col("sid") == F.col("c_sid"))
+    ranked = running_totals(
+        sorted_.join(hint_if_small(classes, 200_000), of_class).drop("c_pattern", "c_sid", "copy", "pattern"),
+        ["class"], ["turn", "key", "size"], F.col("size"), "mix", ("place", "before"))
+    whole = F.col("times") + (F.col("before") + F.col("size") <= F.col("rest")).cast("bigint")
+    placed = materialize(ranked.withColumn("uses", F.when(F.col("size") > 0, whole).otherwise(F.lit(0))).drop("times", "rest", "before"), "placed")
+
+    # Whole documents leave a little of each quota: the largest of those that fit, of each power of two, fill it up, or the least above.
+    got = {r[0]: r[1] for r in _rows(placed.groupBy("sid").agg(F.sum(F.col("size") * F.col("uses"))))}
+    left = {i: q - got.get(i, 0) for i, q in quotas.items()}
+    more: dict[tuple[int, int], int] = {}
+    spare = placed.filter((F.col("size") > 0) & (F.col("uses") < PASSES))
+    for _ in range(FILLS):
+        short = spark.createDataFrame([(i, n) for i, n in left.items() if n > 0], "s_sid int, left bigint")
+        used = spark.createDataFrame([(*k,) for k in more], "u_class int, u_place bigint")
+        fits = spare.join(hint_if_small(used, 200_000), (F.col("class") == F.col("u_class")) & (F.col("place") == F.col("u_place")), "left_anti")
+        fits = fits.join(hint_if_small(short, 200_000), F.col("sid") == F.col("s_sid")).filter(F.col("size") < 2 * F.col("left"))
+        one = F.struct("size", "turn", "class", "place")
+        found = _rows(fits.groupBy("sid", "uses", F.floor(F.log2("size")).alias("bits")).agg(F.max(one).alias("high"), F.min(one).alias("low")))
+        for last in (False, True):  # those that fit; then those that overshoot by less than what is short
+            for r in sorted(found, key=lambda r: (r["sid"], r["uses"], r["bits"] if last else -r["bits"])):
+                for x in (r["low"], r["high"]) if last else (r["high"], r["low"]):
+                    if x["size"] < (1 + last) * left[r["sid"]] + (not last) and (x["class"], x["place"]) not in more:
+                        more[x["class"], x["place"]] = 1
+                        left[r["sid"]] -= x["size"]
+        if not found:
+            break
+    added = spark.createDataFrame([(c, n) for c, n in more], "a_class int, a_place bigint")
+    out = placed.join(hint_if_small(added, 200_000), (F.col("class") == F.col("a_class")) & (F.col("place") == F.col("a_place")), "left")
+    return out.select("key", "size", "source_size", "target", (F.col("size") * (F.col("uses") + F.col("a_class").isNotNull().cast("bigint"))).alias("taken"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:

@@ -15,8 +15,6 @@ def cost(patterns, taken):
     for (unit, members), of in zip(patterns, taken):
         for use in range(sum(of.values())):
             total += use // unit
-        for s, f in of.items():
-            total += max(0, f - members[s])
     return total
 
 
@@ -42,6 +40,13 @@ def test_flow_is_the_cheapest():
         assert cost(patterns, got) == best
 
 
+def test_flow_of_many_uses():
+    """Convex at any number of uses: texts that are used a million times share the uses evenly, as far as members allow."""
+    got = flow.route([(1, {"a": 10**6}), (2, {"a": 10**6}), (1, {"a": 100}), (5, {"b": 7})], {"a": 1_500_000, "b": 0})
+    assert got[2] == {"a": 200} and got[3] == {"b": 0}
+    assert abs(got[0]["a"] - got[1]["a"] / 2) <= 1 and got[0]["a"] + got[1]["a"] == 1_499_800
+
+
 def test_targets():
     assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0.0, 0.0]
     t = mixing.targets([100, 1000, 1000])
@@ -49,7 +54,7 @@ def test_targets():
     assert mixing.targets([0, 5])[0] == 0
 
 
-def check(spark, docs):
+def check(spark, docs, slack=0):
     rows = docs.collect()
     got = mixing.mix(docs).collect()
     assert Counter((r.doc_id, r.size) for r in got) == Counter((r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in rows)
@@ -68,19 +73,19 @@ def check(spark, docs):
         assert match
         taken[match[0]] += r.taken
         goal[match[0]] = r.target
-    if len({tuple(sorted(map(str, v))) for v in of.values() if len(set(v)) > 1}) == 0:
-        for s in goal:
-            assert abs(taken[s] - goal[s]) <= max(0.01 * goal[s], largest[s] / 2 + 1)
+    for s in goal:
+        assert abs(taken[s] - goal[s]) <= max(0.01 * goal[s], slack)
     assert sorted(map(str, mixing.mix(docs.repartition(3)).collect())) == sorted(map(str, got))
 
 
 def test_mix(spark):
-    check(spark, spark.read.parquet(f"{SF}/documents.parquet"))
+    check(spark, spark.read.parquet(f"{SF}/documents.parquet"), slack=100)  # about ten documents a source
+    check(spark, spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet"))
     dice = random.Random(4)
     shared = [" ".join(f"w{dice.randrange(99)}" for _ in range(dice.randint(1, 30))) for _ in range(60)]
     rows = [(i, dice.choice(shared), dice.choice(["a", "b", "é", None]), 1, "x") for i in range(400)] + [(400 + i, t, "z", 1, "x") for i, t in enumerate(["", None, " "])] + [(None, "one two", "a", 1, "x")]
-    check(spark, spark.createDataFrame(rows, "doc_id long, text string, source string, taken int, pattern string"))
-    check(spark, spark.createDataFrame([(7, "same row here", "hot", 1, "x")] * 300 + [(8, "another", "b", 1, "x")], "doc_id long, text string, source string, taken int, pattern string"))
+    check(spark, spark.createDataFrame(rows, "doc_id long, text string, source string, taken int, pattern string"), slack=2)
+    check(spark, spark.createDataFrame([(7, "same row here", "hot", 1, "x")] * 300 + [(8, "another", "b", 1, "x")], "doc_id long, text string, source string, taken int, pattern string"), slack=3)
     assert mixing.mix(spark.read.parquet(f"{SF}/documents.parquet").limit(0)).count() == 0
 
 
