@@ -9,15 +9,16 @@ fingerprint goes to every shard in which a partner of its own can be:
 * ``link`` is exact. A radius of r leaves one of r + 1 blocks of bits as it is, so shards are (block, its value).
 * ``near_copies`` is for a similarity of 0.8, at which a tenth of the bits differ and more. Shards are the values of
   seeded choices of k bits of a 256-bit fingerprint. From a million texts on, k grows with the logarithm of their number,
-  so shards stay small; the number of choices is what the recall asked for needs. Candidates are then checked exactly:
-  first the closest ones of a few choices, then, of all choices, all within the radius that those links have not joined.
+  so shards stay small; the number of choices is what the recall asked for needs. A shard's tree gives no pairs, but as
+  few links as join what lies within the radius, so a group of m texts gives some m links and not m * m.
+  ``alike`` then finds the true links among the texts that such links join, exactly, by their shingles.
 
 Shards meet their trees by a shuffle, not by the driver, which never sees fingerprints, links or components. A tree holds
 distinct fingerprints (or texts) only, so heaps of copies do not count; a shard of many is split by its other bits.
 
 Nulls: a null text is an empty one. Texts without words have fingerprint zero and are copies of one another. A null id is
-the least of its group only if all are null. Repeated rows belong to one group. Empty tables give empty results. Extra
-columns are ignored by ``groups`` and kept by ``one_of_each``.
+the least of its group only if all are null. Repeated rows belong to one group. Texts are read whole, however long; a worker
+has a few at a time. Empty tables give empty results. Extra columns are ignored by ``groups`` and kept by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -44,12 +45,10 @@ LARGE_SHARD = 4096
 #: For near copies: words of a shingle, similarity, share of pairs at just that similarity to be found, radius in so many bits.
 SHINGLE, SIMILARITY, RECALL, WIDE_RADIUS, WIDE_BITS = 5, 0.8, 0.98, 38, 128
 SIGNATURE_BITS = 256
-#: Choices of which the closest partners are verified first.
-FIRST_CHOICES = 16
 #: Texts in a shard, on average, from which on keys grow by bits.
 MEAN_SHARD = 16
-#: Shingles of a block of texts that are verified together: 32 MB of hashes.
-BLOCK = 4_000_000
+#: Shingles of a block of texts that are verified together: 24 MB of hashes.
+BLOCK = 3_000_000
 
 _LOWER = bytes.maketrans(ascii_uppercase.encode(), ascii_lowercase.encode())
 _U64 = (1 << 64) - 1
@@ -115,30 +114,16 @@ class BKTree:
                 return
             node = child
 
-    def within(self, value: int, radius: int) -> list[int]:
-        found, todo = [], [self.root] if self.root else []
+    def within(self, value: int, radius: int) -> Iterator[int]:
+        todo = [self.root] if self.root else []
         while todo:
             at, children = todo.pop()
             d = (at ^ value).bit_count()
             if d <= radius:
-                found.append(at)
+                yield at
             for e, child in children.items():
                 if d - radius <= e <= d + radius:
                     todo.append(child)
-        return found
-
-    def nearest(self, value: int, radius: int) -> tuple[int, int] | None:
-        """(distance, value) of the closest within the radius, the least value of equals."""
-        best, todo = None, [self.root] if self.root else []
-        while todo:
-            at, children = todo.pop()
-            d = (at ^ value).bit_count()
-            if d <= radius and (best is None or (d, at) < best):
-                best, radius = (d, at), d
-            for e, child in children.items():
-                if d - radius <= e <= d + radius:
-                    todo.append(child)
-        return best
 
 
 def _find(parent: dict[int, int], x: int) -> int:
@@ -161,13 +146,17 @@ def _linked(values: list[int], radius: int, free: list[tuple[int, int]]) -> Iter
                 if len(shard) > 1:
                     yield from _linked(shard, radius, [(b, 1) for b in rest])
         return
-    tree, parent = BKTree(), {v: v for v in values}
+    tree, parent, groups = BKTree(), {v: v for v in values}, 0
     for v in values:
+        groups += 1
         for w in tree.within(v, radius):
             a, b = _find(parent, v), _find(parent, w)
             if a != b:
                 parent[a] = b
+                groups -= 1
                 yield v, w
+                if groups == 1:  # nothing is left to be joined
+                    break
         tree.add(v)
 
 
@@ -248,11 +237,8 @@ def _choices(texts: int) -> tuple[int, list[list[int]]]:
     return k, [dice.sample(range(SIGNATURE_BITS), k) for _ in range(count)]
 
 
-def near_copies(texts: DataFrame, choices: list[list[int]], closest: bool = False) -> DataFrame:
-    """``texts`` (node: bigint, sig: binary of 32 bytes, label: bigint) to candidate pairs (a < b) of different labels.
-
-    These are all within the radius that share a shard; with ``closest``, of each text and shard the closest earlier one.
-    """
+def near_copies(texts: DataFrame, choices: list[list[int]]) -> DataFrame:
+    """``texts`` (node: bigint, sig: binary of 32 bytes) to links (a, b) that join all texts that share a shard and lie within the radius."""
     k, places = len(choices[0]), np.array(choices)
     power = (1 << np.arange(k, dtype=np.int64))
 
@@ -265,98 +251,115 @@ def near_copies(texts: DataFrame, choices: list[list[int]], closest: bool = Fals
                 keys = np.stack([bits[:, p] @ power for p in places], axis=1) * len(places) + np.arange(len(places))
                 low, high = np.ascontiguousarray(raw[:, : WIDE_BITS // 8]).view("<i8").T
                 node = part.column(0).to_numpy(zero_copy_only=False)
-                label = part.column(2).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *(pa.array(np.repeat(x, len(places))) for x in (low, high, node, label))], names=["shard", "low", "high", "node", "label"])
-
-    def nearest(fp: list[int], node: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int]]:
-        tree, of = BKTree(), {}
-        for v, x in zip(fp, node.tolist()):
-            if (hit := tree.nearest(v, WIDE_RADIUS)) is not None:
-                yield x, of[hit[1]]
-            if v not in of:
-                of[v] = x
-                tree.add(v)
-
-    def partners(fp: list[int], node: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int]]:
-        # Labels come whole, the largest last, and enter the tree when they are through: no work within a label.
-        _, at, sizes = np.unique(label, return_inverse=True, return_counts=True)
-        order = np.lexsort((at, sizes[at])) if len(sizes) > 1 else np.empty(0, np.int64)
-        tree, of, own, last = BKTree(), {}, [], None
-        for i, x, m in zip(order, node[order].tolist(), at[order].tolist()):
-            v = fp[i]
-            if m != last:
-                for w, y in own:
-                    if w not in of:
-                        tree.add(w)
-                    of.setdefault(w, []).append(y)
-                own, last = [], m
-            for w in tree.within(v, WIDE_RADIUS):
-                for y in of[w]:
-                    yield x, y
-            own.append((v, x))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *(pa.array(np.repeat(x, len(places))) for x in (low, high, node))], names=["shard", "low", "high", "node"])
+
+    def search(fp: list[int], node: list[int]) -> Iterator[tuple[int, int]]:
+        of: dict[int, int] = {}
+        for v, x in zip(fp, node):
+            if of.setdefault(v, x) != x:
+                yield of[v], x
+        for v, w in _linked(list(of), WIDE_RADIUS, []):
+            yield of[v], of[w]
 
     def batch(pairs: np.ndarray) -> pa.RecordBatch:
         p = np.unique(np.sort(pairs, axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = nearest if closest else partners
-        for shard, low, high, node, label in _runs(batches):
+        for shard, low, high, node in _runs(batches):
             edges = np.flatnonzero(np.diff(shard)) + 1
             starts = np.concatenate(([0], edges))
             sizes = np.diff(np.concatenate((starts, [len(shard)])))
             two = starts[sizes == 2]  # a root and one child
             differ = sum(np.bitwise_count(w[two] ^ w[two + 1]) for w in (low.view(np.uint64), high.view(np.uint64)))
-            close = two[(differ <= WIDE_RADIUS) & (label[two] != label[two + 1])]
+            close = two[differ <= WIDE_RADIUS]
             if len(close):
                 yield batch(np.stack([node[close], node[close + 1]], axis=1))
             many = zip(starts[sizes > 2], sizes[sizes > 2])
-            found = chain.from_iterable(search([h << 64 | v for v, h in zip(low[at : at + n].view(np.uint64).tolist(), high[at : at + n].view(np.uint64).tolist())], node[at : at + n], label[at : at + n]) for at, n in many)
+            found = chain.from_iterable(search([h << 64 | v for v, h in zip(low[at : at + n].view(np.uint64).tolist(), high[at : at + n].view(np.uint64).tolist())], node[at : at + n].tolist()) for at, n in many)
             while part := list(islice(found, 200_000)):
                 yield batch(np.array(part, np.int64))
 
-    shards = texts.select("node", "sig", "label").mapInArrow(deal, "shard bigint, low bigint, high bigint, node bigint, label bigint")
+    shards = texts.select("node", "sig").mapInArrow(deal, "shard bigint, low bigint, high bigint, node bigint")
     return shards.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(trees, "a bigint, b bigint").distinct()
 
 
-def alike(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """The ``pairs`` (a, b: bigint, distinct) whose ``sets`` (row: bigint, shingles: sorted array<bigint>) have the Jaccard similarity or more.
+def similar(sets: list[np.ndarray], sides: list[int] | None = None, similarity: float = SIMILARITY) -> Iterator[tuple[int, int]]:
+    """Links between places of ``sets`` (sorted, distinct) that join all with the Jaccard similarity or more, directly or not.
 
-    A set does not move once for each of its pairs: what pairs join is dealt to blocks of ``block`` shingles on average, a
-    cell is two blocks, and each set moves once to each cell in which it has a pair. So a cell's sets fit in a task.
+    Of two sets that are alike, each has one of the shingles that they share among its rarest, of which it may lack all but
+    one; so rare shingles of earlier sets are looked up, group by group, and a set that is joined to a group passes it by. With
+    ``sides``, only links between different sides are looked for.
     """
-    labels = components(pairs).select(F.col("node").alias("of"), "label")
+    sizes = np.array([len(x) for x in sets])
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ends = np.cumsum(sizes)
+    known: dict[int, dict[int, list[int]]] = {}
+    parent = {i: i for i in range(len(sets))}
+    for i in np.argsort(sizes, kind="stable").tolist():
+        n = len(sets[i])
+        tokens = inverse[ends[i] - n : ends[i]]
+        often = counts[tokens]
+        rare = tokens[np.lexsort((tokens, often))][: n - math.ceil(similarity * n - 1e-9) + 1]
+        rare = rare[counts[rare] > 1].tolist()
+        checked: set[int] = set()
+        for t in rare:
+            held = known.get(t)
+            for root in list(held or ()):
+                now = _find(parent, root)
+                if now != root:  # its group has been joined to another since
+                    held.setdefault(now, []).extend(held.pop(root))
+            for root, members in list((held or {}).items()):
+                for j in members:
+                    if _find(parent, i) == _find(parent, root):
+                        break
+                    if j in checked or sides and sides[i] == sides[j]:
+                        continue
+                    checked.add(j)
+                    least = math.ceil(similarity * (n + len(sets[j])) / (1 + similarity) - 1e-6)
+                    if len(sets[j]) >= least and len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= least:
+                        parent[_find(parent, root)] = _find(parent, i)
+                        yield j, i
+        for t in rare:
+            known.setdefault(t, {}).setdefault(_find(parent, i), []).append(i)
+
+
+def alike(links: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Of what ``links`` (a, b: bigint) join, the links between ``sets`` (row: bigint, shingles: sorted array<bigint>) of the similarity.
+
+    What is joined is dealt to blocks of ``block`` shingles on average; a cell is a block or two, and searched by one task. So a
+    set moves once, and where its group has more blocks, once for each of them.
+    """
+    labels = components(links).select(F.col("node").alias("of"), "label")
     sized = materialize(sets.select("row", F.size("shingles").alias("n")).join(labels, F.col("row") == F.col("of")).select("row", "n", "label"), "sized")
     totals = sized.groupBy(F.col("label").alias("of")).agg(F.ceil(F.sum("n") / block).alias("blocks"))
-    placed = materialize(sized.join(totals, F.col("label") == F.col("of")).select("row", "label", F.pmod(F.xxhash64("row"), "blocks").alias("block")), "placed")
-    a, b = (placed.select(F.col("row").alias(f"row_{x}"), F.col("label").alias(f"label_{x}"), F.col("block").alias(f"block_{x}")) for x in "ab")
-    cell = F.xxhash64("label_a", F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("cell")
-    dealt = materialize(pairs.join(a, F.col("a") == F.col("row_a")).join(b, F.col("b") == F.col("row_b")).select(cell, "a", "b"), "cells")
-    members = dealt.select("cell", F.explode(F.array("a", "b")).alias("a")).distinct()
-    whole = members.join(sets, F.col("a") == F.col("row")).select("cell", "a", F.lit(None).cast("bigint").alias("b"), "shingles")
-    both = whole.unionByName(dealt.select("cell", "a", "b", F.lit(None).cast("array<bigint>").alias("shingles")))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        now = None
+    placed = sized.join(totals, F.col("label") == F.col("of")).select(F.col("row").alias("own"), "label", "blocks", F.pmod(F.xxhash64("row"), "blocks").cast("int").alias("side"))
+    cells = placed.select("own", "label", "side", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("other"))
+    cells = materialize(cells.select("own", "side", F.xxhash64("label", F.least("side", "other"), F.greatest("side", "other")).alias("cell"), (F.col("side") == F.col("other")).alias("alone")), "cells")
+    # In the cell of a block with itself all links are looked for; in that of two blocks, those between them.
+    dealt = sets.join(hint_if_small(cells, 500_000), F.col("row") == F.col("own")).select("cell", "row", F.when(F.col("alone"), F.lit(None)).otherwise(F.col("side")).alias("side"), "shingles")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, sides, sets_ = None, [], [], []
+
+        def found() -> pa.RecordBatch:
+            pairs = np.array([(rows[i], rows[j]) for i, j in similar(sets_, None if sides[0] is None else sides)] if len(rows) > 1 else [], np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
         for batch in batches:
-            cell, a, values = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-            single = batch.column(2).is_null().to_numpy(zero_copy_only=False)
-            b = batch.column(2).fill_null(0).to_numpy(zero_copy_only=False)
-            found = []
-            for at, c in enumerate(cell.tolist()):
-                if c != now:  # sets come before the pairs of their cell
-                    held, now = {}, c
-                if single[at]:
-                    held[a[at]] = np.array(values[at], np.int64)
-                    continue
-                x, y = held[a[at]], held[b[at]]
-                least = math.ceil(similarity * (len(x) + len(y)) / (1 + similarity) - 1e-6)
-                if min(len(x), len(y)) >= least and len(np.intersect1d(x, y, assume_unique=True)) >= least:
-                    found.append(at)
-            yield pa.RecordBatch.from_arrays([pa.array(a[found]), pa.array(b[found])], names=["a", "b"])
-
-    return both.repartition("cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first()).mapInArrow(check, "a bigint, b bigint")
+            values = batch.column(3).to_numpy(zero_copy_only=False)
+            for c, r, side, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), values):
+                if c != now and rows:
+                    yield found()
+                    rows, sides, sets_ = [], [], []
+                now = c
+                rows.append(r)
+                sides.append(side)
+                sets_.append(np.array(x, np.int64))
+        if rows:
+            yield found()
+
+    return dealt.repartition("cell").sortWithinPartitions("cell", "row").mapInArrow(search, "a bigint, b bigint").distinct()
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -391,17 +394,10 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     texts = materialize(signed.groupBy("copy").agg(F.min(order).alias("least"), F.min("sig").alias("sig")).select("copy", "least", F.col("least.row").alias("node"), "sig"), "texts")
     _, choices = _choices(texts.count())
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        needed = materialize(pairs.select(F.col("a").alias(need)).union(pairs.select(F.col("b"))).distinct(), "needed")
-        sets = numbered.join(hint_if_small(needed, 500_000), F.col(row) == F.col(need), "left_semi").select(F.col(row), F.col(text)).mapInArrow(shingles, "row bigint, shingles array<bigint>")
-        return materialize(alike(pairs, materialize(sets, "shingles")), "alike")
-
-    # Links to the closest join most of a large group, so that no more than its links to others are looked for after that.
-    single = texts.filter(F.length("copy") > 0).select("node", "sig")
-    links = verified(materialize(near_copies(single.withColumn("label", F.col("node")), choices[:FIRST_CHOICES], closest=True), "closest"))
-    joined = materialize(components(links), "joined").select(F.col("node").alias("of"), "label")
-    labelled = single.join(joined, F.col("node") == F.col("of"), "left").select("node", "sig", F.coalesce("label", "node").alias("label"))
-    links = links.unionByName(verified(materialize(near_copies(labelled, choices), "candidates")))
+    links = materialize(near_copies(texts.filter(F.length("copy") > 0).select("node", "sig"), choices), "candidates")
+    needed = materialize(links.select(F.col("a").alias(need)).union(links.select(F.col("b"))).distinct(), "needed")
+    sets = numbered.join(hint_if_small(needed, 500_000), F.col(row) == F.col(need), "left_semi").select(F.col(row), F.col(text)).mapInArrow(shingles, "row bigint, shingles array<bigint>")
+    links = materialize(alike(links, materialize(sets, "shingles")), "alike")
     labels = materialize(components(links), "labels")
     named = texts.withColumnRenamed("node", "own").join(labels, F.col("own") == F.col("node"), "left").select("least", F.coalesce("label", "own").alias("label"))
     stay = named.groupBy("label").agg(F.min("least").alias("stays")).select(F.col("stays.row").alias("stay"))

@@ -86,7 +86,38 @@ def test_tree(values, radius):
         tree.add(v)
     near = sorted(v for v in values if (v ^ values[0]).bit_count() <= radius)
     assert sorted(tree.within(values[0], radius)) == near
-    assert tree.nearest(values[-1] ^ 1, radius) == min((((v ^ values[-1] ^ 1).bit_count(), v) for v in values if (v ^ values[-1] ^ 1).bit_count() <= radius), default=None)
+
+
+@pytest.mark.parametrize("sided", [False, True])
+def test_similar_sets(sided):
+    dice = random.Random(3)
+    sets, sides = [], []
+    for g in range(30):
+        base = [dice.getrandbits(60) for _ in range(dice.choice([1, 3, 40, 120]))]
+        for _ in range(12):
+            own = set(base) | set(dice.sample(range(50), dice.randint(0, 5)))
+            for x in dice.sample(base, dice.randint(0, len(base) // 5)):
+                own.discard(x)
+                own.add(dice.getrandbits(60))
+            sets.append(np.array(sorted(own), np.int64))
+            sides.append(dice.randrange(2))
+    want = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9 and (not sided or sides[i] != sides[j])]
+    got = list(simhash.similar(sets, sides if sided else None))
+    assert len(want) > 50 and {tuple(sorted(p)) for p in got} <= {tuple(sorted(p)) for p in want}
+    assert len(got) < len(sets)
+    ids, w, g = range(len(sets)), set(want), {tuple(sorted(p, reverse=True)) for p in got}
+    assert least(ids, closure(len(sets), lambda i, j: (i, j) in w)) == least(ids, closure(len(sets), lambda i, j: (i, j) in g))
+
+
+def test_alike_in_blocks(spark):
+    """A group of more blocks than one is searched cell by cell, with the same components."""
+    dice = random.Random(9)
+    base = [dice.getrandbits(62) for _ in range(100)]
+    sets = [sorted({*dice.sample(base, 95), *(dice.getrandbits(62) for _ in range(dice.choice([2, 30])))}) for _ in range(60)]
+    links = spark.createDataFrame([(i, i + 1) for i in range(59)], "a long, b long")
+    table = spark.createDataFrame(list(enumerate(sets)), "row long, shingles array<long>")
+    ways = [{r.node: r.label for r in components(simhash.alike(links, table, block)).collect()} for block in (10**6, 700)]
+    assert ways[0] == ways[1] and len(set(ways[0].values())) >= 1 and len(ways[0]) > 10
 
 
 def test_components(spark):
@@ -143,6 +174,27 @@ def test_partners_in_a_crowd(spark):
     assert set(range(300)) <= got and len(got) <= 301  # of 60 partners
 
 
+def test_recall_on_a_table(spark):
+    """All links of a table by an inverted index of all shingles; every one that is lost is listed."""
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    rows = docs.collect()
+    sets = [set(simhash.shingle_hashes(r.text, 5).tolist()) for r in rows]
+    holders = {}
+    for i, x in enumerate(sets):
+        for h in x:
+            holders.setdefault(h, []).append(i)
+    links = []
+    for i, x in enumerate(sets):
+        shared = Counter(j for h in x for j in holders[h] if j < i)
+        links += [(j, i) for j, n in shared.items() if n >= 0.8 * (len(x) + len(sets[j]) - n) - 1e-9]
+    label = closure(len(rows), lambda i, j, w=set(links): (j, i) in w)
+    stays = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    lost = [(rows[j].doc_id, rows[i].doc_id) for j, i in links if rows[j].doc_id in stays and rows[i].doc_id in stays]
+    assert len(links) > 20 and lost == []
+    empty = [i for i, x in enumerate(sets) if not x]
+    assert stays == {min(rows[i].doc_id for i in range(len(rows)) if label[i] == m and sets[i]) for m in {label[i] for i in range(len(rows)) if sets[i]}} | {min((rows[i].doc_id for i in empty), default=None)} - {None}
+
+
 def test_recall_counts_the_radius():
     k, choices = simhash._choices(100_000)
     width, sim = getattr(simhash, "WIDE_BITS", 64), 2 * simhash.SIMILARITY / (1 + simhash.SIMILARITY)
