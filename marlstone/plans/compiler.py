@@ -87,16 +87,29 @@ class Scope:
         return [(plain(c) if count.count(n) == 1 else f"{a}_{plain(c)}", c) for a, n, c in own]
 
     def kind(self, e) -> T.DataType | None:
+        """The type of a column or a literal, and of arithmetic; None if it takes an analysis to know."""
         if e[0] == "col":
-            return self.df.schema[self.find(e[1], e[2])].dataType
-        return None
+            return self.df.schema[self.find(e[1], e[2])].dataType if self.columns else None
+        if e[0] in ("num", "neg"):
+            return T.LongType() if e[0] == "num" and isinstance(e[1], int) else T.DoubleType() if e[0] == "num" or isinstance(self.kind(e[1]), T.NumericType) else None
+        if e[0] == "recno":
+            return T.LongType()
+        if e[0] == "op" and e[1] in "+-*/" and all(isinstance(self.kind(x), T.NumericType) for x in e[2:]):
+            return T.DoubleType()
+        return {"str": T.StringType(), "date": T.DateType(), "bool": T.BooleanType()}.get(e[0])
+
+    def value(self, e) -> object:
+        """Of a literal."""
+        if e[0] == "neg" and e[1][0] == "num":
+            return -e[1][1]
+        return e[1] if e[0] in ("num", "str", "date") else None
 
     def condition(self, e) -> Column:
         if self.mode != "xbase":
             return self(e)
         if e[0] in ("not", "like", "in", "between", "null?", "bool") or (e[0] == "op" and e[1] not in "+-*/"):
             return self(e)
-        return compat.truth(self(e))
+        return compat.truth(self(e), self.kind(e))
 
     def __call__(self, e) -> Column:
         if e in self.done:
@@ -141,7 +154,7 @@ class Scope:
         if op in "+-*/":
             return self._arithmetic(op, a, b, x, y)
         if self.mode == "xbase":
-            return compat.compare(op, x, y)
+            return compat.compare(op, x, y, (self.kind(a), self.kind(b)), (self.value(a), self.value(b)))
         if "date" in (a[0], b[0]):
             x, y = x.cast("date"), y.cast("date")
         return {"=": x == y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}.get(op) if op not in ("<>", "!=") else x != y
@@ -163,6 +176,10 @@ class Scope:
         return self(("op", ">=", a, lo)) & self(("op", "<=", a, hi))
 
     def _in(self, a, items) -> Column:
+        kind, values = self.kind(a), [self.value(x) for x in items]
+        if all(v is not None for v in values) and (self.mode != "xbase" and len({type(v) for v in values}) == 1 and not any(x[0] == "date" for x in items) or isinstance(kind, T.IntegralType) and all(isinstance(v, int) for v in values)):
+            c = self(a)  # one set, however long
+            return c.isNotNull() & c.isin(values) if self.mode == "xbase" else c.isin(values)
         out = None
         for x in items:
             same = self(("op", "=", a, x))
@@ -202,7 +219,7 @@ class Scope:
         c = self(args[0])
         if self.mode == "xbase":
             kind = self.df.select(c.alias("c")).schema["c"].dataType
-            return compat.aggregate(name, c, distinct, isinstance(kind, T.IntegralType))
+            return compat.aggregate(name, c, distinct, kind)
         plain = {"COUNT": F.count, "SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max}
         once = {"COUNT": F.count_distinct, "SUM": F.sum_distinct, "AVG": lambda c: F.call_function("try_divide", F.sum_distinct(c).cast("double"), F.count_distinct(c))}
         return once.get(name, plain[name])(c) if distinct else plain[name](c)
@@ -252,7 +269,7 @@ def _folded(on, left: Scope, right: Scope) -> Column:
         raise CompileError("ON takes equalities of columns joined by AND")
     for a, b in ((on[2], on[3]), (on[3], on[2])):
         try:
-            return compat.join_key(left(a)) == compat.join_key(right(b))
+            return compat.join_on(left(a), right(b), (left.kind(a), right.kind(b)))
         except CompileError:
             continue
     raise CompileError("ON must name a column of either side")
