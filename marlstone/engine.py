@@ -1,16 +1,25 @@
 """A folder of tables as a database: queries as DataFrames, changes as new versions of a table's file.
 
 ``Database(spark, folder).sql("SELECT ...")`` gives a DataFrame; ``execute`` runs any statement. Tables are ``<name>.dbf``
-(names in any case) or, to read only, ``<name>.parquet``. A change writes the whole new table beside the old one, by Spark, and
-swaps the files; within ``transaction()`` all swaps wait for its end, and an error drops them. Old readers keep the old file.
+(names in any case) or, to read only, ``<name>.parquet``. The folder is one that driver and executors share.
+
+A change writes the whole new table beside the old one, by Spark, and swaps the files; within ``transaction()`` all swaps wait
+for its end, and an error drops them. What is to be swapped is first written to a journal, by one rename; a folder with a journal
+is put right when it is opened, so a crash leaves either all of a change or nothing. A writer holds ``<table>.lck`` from before it
+reads a table until its change is in place, so no change is lost to another; readers do not wait. Old readers keep the old file.
+
+Indexes (.ntx) of a table are built anew with each change, unless ``index_write`` is off. A query over one table reads the records
+that a fresh index of it gives, unless ``index_read`` is off; ``plan`` tells which.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
+import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .plans import compiler, syntax
+from .plans import compiler, indexes, syntax
+from .session import importable
 from .sources import layout, ntx, xbase
 from .sources.layout import Field
 
@@ -34,6 +44,9 @@ TYPES = {
     **dict.fromkeys(("MEMO", "TEXT", "CLOB", "LONGVARCHAR"), ("M", 10, 0)),
 }
 MOST = {"C": 254, "N": 19}
+#: Records that an index gives a query at most; a share of the table's; entries looked at to tell whose an index is.
+MOST_FOUND, MOST_SHARE, SAMPLE = 10_000, 4, 64
+JOURNAL = ".journal"
 
 
 class EngineError(Exception):
@@ -64,13 +77,21 @@ def spec(fields: Sequence[Field]) -> str:
 
 
 class Database:
-    def __init__(self, spark: SparkSession, folder: str, mode: str = "ansi", charset: str = "utf-8", max_rows: int | None = None, **read_options: object):
+    def __init__(self, spark: SparkSession, folder: str, mode: str = "ansi", charset: str = "utf-8", max_rows: int | None = None,
+                 index_read: bool = True, index_write: bool = True, lock_seconds: float = 10.0, **read_options: object):
         if not os.path.isdir(folder):
             raise EngineError(f"no folder: {folder}", "08001")
+        importable(spark)
         xbase.register(spark)
         ntx.register(spark)
         self.spark, self.folder, self.mode, self.charset, self.max_rows, self.read_options = spark, folder, mode, charset, max_rows, read_options
+        self.index_read, self.index_write, self.lock_seconds = index_read, index_write, lock_seconds
         self._staged: dict[str, str | None] | None = None
+        self._held: list[str] = []
+        self._owners: dict[tuple, bool] = {}
+        if os.path.exists(os.path.join(folder, JOURNAL)):
+            with self._writing(".journal-replay"):
+                self._replay()
 
     # catalog
     def tables(self) -> list[str]:
@@ -133,10 +154,70 @@ class Database:
         return ntx.build(self.table(table), fields, expression, os.path.join(self.folder, f"{name}.ntx"))
 
     def seek(self, table: str, index: str, prefix: str = "") -> DataFrame:
-        """The records whose key in the index begins with ``prefix``, with ``_key``; deleted ones are left out."""
-        found = self.spark.read.format("ntx").option("prefix", prefix).load(os.path.join(self.folder, index))
-        rows = self.table(table)
-        return rows.join(found.select(F.col("key").alias("_key"), F.col("recno").alias("_at")), F.col("_recno") == F.col("_at")).drop("_at")
+        """The records whose key in the index begins with ``prefix``, with ``_key``; deleted ones, and those whose key is another by now, are left out."""
+        at = os.path.join(self.folder, index)
+        with xbase.open_at(at) as f:
+            expression = ntx.Tree.of(f).expression
+        found = self.spark.read.format("ntx").option("prefix", prefix).load(at)
+        rows = self.table(table).withColumn("_now", ntx.key_expression(expression, xbase.header_of(self._dbf(table), self.charset).fields))
+        same = (F.col("_recno") == F.col("_at")) & F.col("_now").startswith(F.rtrim("_key"))
+        return rows.join(found.select(F.col("key").alias("_key"), F.col("recno").alias("_at")), same).drop("_at", "_now")
+
+    def _trees(self, path: str) -> Iterator[tuple[str, ntx.Tree]]:
+        """The indexes that a table's columns can make, and that its records bear out."""
+        fields = xbase.header_of(path, self.charset).fields
+        for f in sorted(os.listdir(self.folder)):
+            if not f.lower().endswith(".ntx"):
+                continue
+            at = os.path.join(self.folder, f)
+            try:
+                with xbase.open_at(at) as file:
+                    tree = ntx.Tree.of(file)
+                    stamp = (at, os.path.getmtime(at), path, os.path.getmtime(path))
+                    if stamp not in self._owners:
+                        key = ntx.key_expression(tree.expression, fields)
+                        self._owners[stamp] = self._bears_out(path, tree, key, [x for _, x in zip(range(SAMPLE), tree.walk(file, tree.root))])
+                if self._owners[stamp]:
+                    yield at, tree
+            except (ValueError, OSError, IndexError):
+                continue  # an index of another table, or none
+
+    def _bears_out(self, path: str, tree: ntx.Tree, key, sample: list[tuple[bytes, int]]) -> bool:
+        if not sample:
+            return xbase.header_of(path, self.charset).records == 0
+        every = self.spark.read.format("xbase").option("charset", self.charset).option("include_deleted", "true").load(path)
+        have = {r[0]: r[1] for r in every.filter(F.col("_recno").isin([n for _, n in sample])).select("_recno", F.encode(key, "ISO-8859-1")).collect()}
+        return all(bytes(have.get(n) or b"").ljust(tree.key_length)[: tree.key_length] == k for k, n in sample)
+
+    def _indexed(self, query: dict, mode: str) -> tuple[str, list[int], indexes.Reach] | None:
+        """An index for a query over one table, the records that it gives, and the part that was read."""
+        if not self.index_read or query["joins"] or query["where"] is None or self._staged is not None:
+            return None
+        path = self._path(query["from"][0])
+        if not path or path.endswith(".parquet") or not any(f.lower().endswith(".ntx") for f in os.listdir(self.folder)):
+            return None
+        header, best = xbase.header_of(path, self.charset), None
+        rowwise = not (query["group"] or query["having"] or query["distinct"] or any(compiler.aggregates(e) for e, _ in query["items"]))
+        limit = min([x for x in (query["limit"], self.max_rows) if x is not None], default=None) if rowwise else None
+        for at, tree in self._trees(path):
+            r = None if tree.unique or os.path.getmtime(at) < os.path.getmtime(path) else indexes.reach(query["where"], query["order"], limit, tree.expression, header.fields, mode)
+            if r is None:
+                continue
+            most = limit if r.ordered else min(MOST_FOUND, header.records // MOST_SHARE)
+            if most > MOST_FOUND:
+                continue
+            with xbase.open_at(at) as f:
+                found = [x for _, x in zip(range(most + (not r.ordered)), tree.walk(f, tree.root, r.prefix.encode("latin-1")))]
+            if r.ordered and all(k.isascii() and b"?" not in k for k, _ in found):
+                return os.path.basename(at), [n for _, n in found], r
+            if not r.ordered and len(found) <= most and (best is None or len(found) < len(best[1])):
+                best = os.path.basename(at), [n for _, n in found], r
+        return best
+
+    def plan(self, text: str, mode: str | None = None) -> dict[str, object] | None:
+        """The index that a query reads: index, prefix, ordered, records; None if it scans."""
+        hit = self._indexed(syntax.parse(text)["query"], mode or self.mode)
+        return hit and {"index": hit[0], "prefix": hit[2].prefix, "ordered": hit[2].ordered, "records": hit[1]}
 
     # queries
     def sql(self, text: str, params: Sequence = (), mode: str | None = None) -> DataFrame:
@@ -146,21 +227,30 @@ class Database:
         return self._select(s["query"], params, mode)
 
     def _select(self, query: dict, params: Sequence, mode: str | None = None) -> DataFrame:
-        return compiler.select(query, self.table, mode or self.mode, params, self.max_rows)
+        hit = self._indexed(query, mode or self.mode)
+
+        def table(name: str, columns: set[str] | None = None) -> DataFrame:
+            df = self.table(name, columns)
+            return df.filter(F.col("_recno").isin(hit[1])) if hit else df
+
+        return compiler.select(query, table, mode or self.mode, params, self.max_rows)
 
     def execute(self, text: str, params: Sequence = ()) -> DataFrame | int:
         """A query's DataFrame, or how many rows a change has touched (0 for definitions)."""
         s = syntax.parse(text)
         if s["do"] == "select":
             return self._select(s["query"], params)
-        return getattr(self, f"_{s['do']}")(s, params)
+        named = [s["from"][0], *(t for _, (t, _), _ in s["joins"])] if s["do"] == "update" else [s["table"], *([s["to"]] if s.get("change") == "rename" else [])]
+        with self._writing(*named):
+            return getattr(self, f"_{s['do']}")(s, params)
 
     def execute_many(self, text: str, rows: Sequence[Sequence]) -> DataFrame:
         """One INSERT with parameters for all rows, as a single append; gives the new record numbers (column RECNO)."""
         s = syntax.parse(text)
         if s["do"] != "insert":
             raise EngineError("execute_many takes INSERT")
-        return self._append(s, [(r, params) for params in rows for r in s["rows"]])
+        with self._writing(s["table"]):
+            return self._append(s, [(r, params) for params in rows for r in s["rows"]])
 
     def batch(self, statements: Sequence[str]) -> list[int]:
         """Runs changes in turn; -3 for each that fails."""
@@ -182,46 +272,106 @@ class Database:
         self._staged = {}
         try:
             yield self
-            staged = self._staged
+            staged, self._staged = self._staged, None
+            self._swap(staged)
         except BaseException:
-            for path in self._staged.values():
+            for path in (self._staged or {}).values():
                 _discard(path)
             self._staged = None
             raise
-        self._staged = None
-        for base, path in staged.items():
-            self._swap(base, path)
+        finally:
+            self._release(self._held)
+
+    @contextmanager
+    def _writing(self, *tables: str):
+        """Holds the tables' locks; within a transaction, until its end."""
+        taken = []
+        try:
+            for base in sorted({_base(t) for t in tables}):
+                if base not in self._held:
+                    self._lock(base)
+                    taken.append(base)
+            yield
+        finally:
+            if self._staged is None:
+                self._release(taken)
+
+    def _lock(self, base: str) -> None:
+        path, until = os.path.join(self.folder, f"{base}.lck"), time.monotonic() + self.lock_seconds
+        while True:
+            try:
+                with os.fdopen(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY), "w") as f:
+                    f.write(f"{os.getpid()}")
+                self._held.append(base)
+                return
+            except FileExistsError:
+                if time.monotonic() >= until:
+                    raise EngineError(f"{base} is locked by another writer ({path})", "55006") from None
+                time.sleep(0.05)
+
+    def _release(self, bases: Sequence[str]) -> None:
+        for base in list(bases):
+            if base in self._held:
+                self._held.remove(base)
+                os.remove(os.path.join(self.folder, f"{base}.lck"))
 
     def _fresh(self, base: str) -> str:
         folder = os.path.join(self.folder, f".{base}.{uuid.uuid4().hex}")
         os.makedirs(folder)
         return os.path.join(folder, f"{base}.dbf")
 
-    def _swap(self, base: str, path: str | None) -> None:
-        """Puts a new version in a table's place; None drops the table."""
-        old = self._path(base)
-        target = old or os.path.join(self.folder, f"{base}.dbf")
-        memo = xbase._siblings(target, "dbt") if old else None
-        if path is None:
-            for f in [old, *(xbase._siblings(old, e) for e in ("dbt", "fpt", "ndx", "mdx"))]:
-                if f:
-                    os.remove(f)
-            return
-        side = os.path.splitext(path)[0] + ".dbt"
-        if os.path.exists(side):
-            os.replace(side, memo or os.path.splitext(target)[0] + ".dbt")
-        os.replace(path, target)
-        shutil.rmtree(os.path.dirname(path))
+    def _swap(self, staged: dict[str, str | None]) -> None:
+        """Puts new versions in the tables' places; None drops a table. All of it or, before the journal's rename, nothing."""
+        moves, gone, rebuild = [], [], []
+        for base, path in staged.items():
+            old = self._path(base)
+            if path is None:
+                gone += [f for f in (old, *(xbase._siblings(old, e) for e in ("dbt", "fpt", "ndx", "mdx"))) if f]
+                continue
+            target = old or os.path.join(self.folder, f"{base}.dbf")
+            if old and self.index_write:
+                rebuild += [(base, at, tree.expression) for at, tree in self._trees(old)]
+            side = os.path.splitext(path)[0] + ".dbt"
+            if os.path.exists(side):
+                moves.append((side, (xbase._siblings(target, "dbt") if old else None) or os.path.splitext(target)[0] + ".dbt"))
+            moves.append((path, target))
+        journal = os.path.join(self.folder, JOURNAL)
+        with open(f"{journal}.{uuid.uuid4().hex}", "w") as f:
+            json.dump({"moves": moves, "gone": gone}, f)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(f.name, journal)
+        self._replay()
+        for base, at, expression in rebuild:
+            try:
+                ntx.build(self.table(base), xbase.header_of(self._dbf(base), self.charset).fields, expression, at)
+            except ValueError:
+                os.remove(at)  # its columns are no more
+
+    def _replay(self) -> None:
+        """Does what the journal says and is not done yet."""
+        journal = os.path.join(self.folder, JOURNAL)
+        with open(journal) as f:
+            what = json.load(f)
+        for source, target in what["moves"]:
+            if os.path.exists(source):
+                os.replace(source, target)
+        for path in what["gone"]:
+            if os.path.exists(path):
+                os.remove(path)
+        for folder in {os.path.dirname(source) for source, _ in what["moves"]}:
+            shutil.rmtree(folder, ignore_errors=True)
+        os.remove(journal)
 
     def _publish(self, table: str, df: DataFrame, fields: Sequence[Field]) -> None:
-        base = (table[:-4] if table.lower().endswith(".dbf") else table).lower()
+        base = _base(table)
         path = self._fresh(base)
         df.write.format("xbase").option("charset", self.charset).option("fields", spec(fields)).mode("overwrite").save(path)
         if self._staged is not None:
             _discard(self._staged.get(base))
             self._staged[base] = path
         else:
-            self._swap(base, path)
+            self._swap({base: path})
 
     # changes
     def _whole(self, table: str) -> tuple[DataFrame, list[Field]]:
@@ -255,7 +405,10 @@ class Database:
             kept = old.orderBy("_recno").select(*[F.col(f.name).cast("string") for f in fields], F.col("_deleted"))
             self._publish(s["table"], kept.unionByName(new, allowMissingColumns=True), fields)
         else:
+            owned = [(at, tree.expression) for at, tree in self._trees(path)] if self.index_write else []
             new.write.format("xbase").option("charset", self.charset).mode("append").save(path)
+            for at, expression in owned:
+                ntx.build(self.table(s["table"]), fields, expression, at)
         return self.spark.range(header.records + 1, header.records + len(values) + 1).withColumnRenamed("id", "RECNO")
 
     def _update(self, s: dict, params: Sequence) -> int:
@@ -301,6 +454,10 @@ class Database:
 
     def undelete(self, table: str, where: str | None = None) -> int:
         """Takes back the deleted flag."""
+        with self._writing(table):
+            return self._undelete(table, where)
+
+    def _undelete(self, table: str, where: str | None) -> int:
         df, fields = self._whole(table)
         hit = F.col("_deleted") & (F.expr(where) if where else F.lit(True))
         n = df.filter(hit).count()
@@ -309,6 +466,10 @@ class Database:
 
     def pack(self, table: str) -> int:
         """Drops deleted records for good."""
+        with self._writing(table):
+            return self._pack(table)
+
+    def _pack(self, table: str) -> int:
         df, fields = self._whole(table)
         n = df.filter("_deleted").count()
         self._publish(table, df.filter("not _deleted").orderBy("_recno").drop("_recno"), fields)
@@ -334,9 +495,9 @@ class Database:
             raise EngineError(f"Table not found: {s['table']}", "42S02")
         self._dbf(s["table"])
         if self._staged is not None:
-            self._staged[s["table"].lower()] = None
+            self._staged[_base(s["table"])] = None
         else:
-            self._swap(s["table"], None)
+            self._swap({_base(s["table"]): None})
         return 0
 
     def _alter(self, s: dict, params: Sequence) -> int:
@@ -370,6 +531,10 @@ class Database:
         return 0
 
 
+def _base(table: str) -> str:
+    return (table[:-4] if table.lower().endswith(".dbf") else table).lower()
+
+
 def _changed(f: Field, c) -> object:
     return c.alias(f.name)
 

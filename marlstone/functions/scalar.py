@@ -33,10 +33,14 @@ def moment(c: Column) -> Column:
     return F.coalesce(text(c).try_cast("timestamp_ntz"), day(c).cast("timestamp_ntz"))
 
 
+#: Control characters and the space.
+BLANKS = "".join(map(chr, range(0x21)))
+
+
 def strip(c: Column, left: bool = True, right: bool = True) -> Column:
     """Without control characters and spaces at the ends."""
-    parts = [r"^[\x00-\x20]+"] * left + [r"[\x00-\x20]+$"] * right
-    return F.regexp_replace(text(c), "|".join(parts), "")
+    cut = F.btrim if left and right else F.ltrim if left else F.rtrim
+    return cut(text(c), F.lit(BLANKS))
 
 
 def truthy(c: Column) -> Column:

@@ -309,7 +309,8 @@ def select(query: dict, table: Callable[[str, set[str] | None], DataFrame], mode
         out = out.limit(n) if n is not None else out
         return out.select(*[F.col(f"`{label}`") for label, _ in items])
     if order:
-        out = out.orderBy(*[k.asc_nulls_first() if up else k.desc_nulls_last() for k, (_, up) in zip(keys, order)])
+        ties = [F.col(f"`{c}`") for _, n_, c in s.columns if n_ == "_RECNO"]  # equals stay in the order of their records
+        out = out.orderBy(*[k.asc_nulls_first() if up else k.desc_nulls_last() for k, (_, up) in zip(keys, order)], *ties)
     if n is not None:
         out = out.limit(n)
     return out.select(*[(s(e).cast("string") if e == ("null",) else s(e)).alias(label) for label, e in items])
@@ -351,9 +352,11 @@ def _grouped(query: dict, s: Scope, items, labels, order):
     loose = list(dict.fromkeys(loose))
     keys = [(f"k{i}", s(g)) for i, g in enumerate(group)]
     by = [(compat.strip(c) if s.mode == "xbase" and s._texts(g) else c).alias(k) for (k, c), g in zip(keys, group)]
-    aggs = [s(c).alias(f"a{i}") for i, c in enumerate(calls)] + [F.first(s(c)).alias(f"f{i}") for i, c in enumerate(loose)]
+    places = [F.col(f"`{c}`") for _, n, c in s.columns if n == "_RECNO"]
+    first = (lambda c: F.min_by(F.struct(c.alias("v")), F.struct(*places))["v"]) if places else F.first  # of the first record
+    aggs = [s(c).alias(f"a{i}") for i, c in enumerate(calls)] + [first(s(c)).alias(f"f{i}") for i, c in enumerate(loose)]
     if s.mode == "xbase":
-        aggs += [F.first(c).alias(f"s{k}") for (k, c), g in zip(keys, group) if s._texts(g)]
+        aggs += [first(c).alias(f"s{k}") for (k, c), g in zip(keys, group) if s._texts(g)]
     df = s.df.groupBy(*by).agg(*(aggs or [F.count(F.lit(1)).alias("a_")])) if group else s.df.agg(*(aggs or [F.count(F.lit(1)).alias("a_")]))
     shown = {k: f"s{k}" if f"s{k}" in df.columns else k for k, _ in keys}
     s.done = {g: F.col(shown[k]) for (k, _), g in zip(keys, group)} | {c: F.col(f"a{i}") for i, c in enumerate(calls)} | {c: F.col(f"f{i}") for i, c in enumerate(loose)}

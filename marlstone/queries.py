@@ -1,7 +1,8 @@
 """The registry of named queries over Parquet tables, each with SQL for another engine that gives the same rows.
 
-Most are written in the dialect and go through its parser and compiler; changes and historical rules use the DataFrame
-operators directly. Sorted and limited queries have a total order.
+Most are written in the dialect and go through its parser and compiler. Those over xBase tables and indexes first write the
+Parquet tables as xBase ones, in the order of their keys, and run everything through ``Database``: scans, memos, record numbers,
+changes, definitions, transactions and indexes. Sorted and limited queries have a total order.
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from .engine import Database
 from .operators import compat
 from .plans import compiler, syntax
+from .session import workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -145,40 +147,182 @@ for _name, _a, _b in (
     add(_name, f"{_OD}{_a} FROM orders", f"{_ODO}{_b} FROM orders")
 add("fn_hms", "SELECT event_id k, HOUR(ts) a, MINUTE(ts) b, SECOND(ts) c FROM events", "SELECT event_id AS k, hour(ts) AS a, minute(ts) AS b, second(ts) AS c FROM events")
 
-# Changes, as the rows that they leave.
+# xBase tables. Names have ten characters at most.
+
+TABLES = {
+    "region": (["r_regionkey R_KEY", "r_name R_NAME"], "R_KEY,N,6,0;R_NAME,C,12,0"),
+    "nation": (["n_nationkey N_KEY", "n_name N_NAME", "n_regionkey N_REGION"], "N_KEY,N,6,0;N_NAME,C,12,0;N_REGION,N,6,0"),
+    "supplier": (["s_suppkey S_KEY", "s_name S_NAME", "s_nationkey S_NATION", "s_acctbal S_BAL", "repeat(s_name, 40) S_NOTE"], "S_KEY,N,10,0;S_NAME,C,18,0;S_NATION,N,6,0;S_BAL,N,12,2;S_NOTE,M,10,0"),
+    "customer": (["c_custkey C_KEY", "c_name C_NAME", "c_nationkey C_NATION", "c_acctbal C_BAL", "c_mktsegment C_SEGMENT", "concat('0', c_nationkey, '.0') C_TEXT"], "C_KEY,N,10,0;C_NAME,C,18,0;C_NATION,N,6,0;C_BAL,N,12,2;C_SEGMENT,C,12,0;C_TEXT,C,8,0"),
+    "orders": (["o_orderkey O_KEY", "o_custkey O_CUST", "o_orderstatus O_STATUS", "o_totalprice O_TOTAL", "cast(o_orderdate AS date) O_DATE", "o_totalprice > 250000 O_BIG"], "O_KEY,N,12,0;O_CUST,N,10,0;O_STATUS,C,1,0;O_TOTAL,N,14,2;O_DATE,D,8,0;O_BIG,L,1,0"),
+}
+
+
+def database(spark: SparkSession, sf_dir: str, *tables: str, **options: object) -> Database:
+    """A folder with some tables of ``sf_dir``, as xBase ones whose records are in the order of the key."""
+    db = Database(spark, workspace(spark, "queries"), **options)
+    for name in tables:
+        columns, fields = TABLES[name]
+        source = spark.read.parquet(f"{sf_dir}/{name}.parquet").selectExpr(*columns)
+        source.orderBy(source.columns[0]).write.format("xbase").option("fields", fields).mode("overwrite").save(f"{db.folder}/{name}.dbf")
+    return db
+
+
+def on_tables(name: str, tables: str, sql: str, oracle: str, *before: str, mode: str = "ansi", **options: object) -> None:
+    """A query over xBase tables after some changes."""
+
+    def run_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+        db = database(spark, sf_dir, *tables.split(), mode=mode, **options)
+        for statement in before:
+            db.execute(statement)
+        return db.sql(sql)
+
+    QUERIES[name], ORACLE_SQL[name] = run_on, oracle
+
+
+_CUSTOMER = "(SELECT row_number() OVER (ORDER BY c_custkey) AS r, * FROM customer)"
+
+on_tables("xbase_scan", "customer", "SELECT RECNO() r, C_KEY, C_NAME, C_NATION, C_BAL FROM customer", f"SELECT r, c_custkey AS C_KEY, rpad(c_name, 18, ' ') AS C_NAME, c_nationkey AS C_NATION, c_acctbal AS C_BAL FROM {_CUSTOMER}")
+on_tables("xbase_scan_star", "orders", "SELECT * FROM orders", "SELECT o_orderkey AS O_KEY, o_custkey AS O_CUST, o_orderstatus AS O_STATUS, o_totalprice AS O_TOTAL, o_orderdate::DATE AS O_DATE, o_totalprice > 250000 AS O_BIG FROM orders")
+on_tables("xbase_projected_scan", "customer", "SELECT C_KEY k, TRIM(C_SEGMENT) s FROM customer WHERE C_BAL > 5000 AND C_NATION BETWEEN 3 AND 9 ORDER BY k", "SELECT c_custkey AS k, c_mktsegment AS s FROM customer WHERE c_acctbal > 5000 AND c_nationkey BETWEEN 3 AND 9 ORDER BY k")
+on_tables("xbase_aggregate", "customer", "SELECT TRIM(C_SEGMENT) s, COUNT(*) n, ROUND(SUM(C_BAL), 2) b, MIN(RECNO()) a, MAX(RECNO()) z FROM customer GROUP BY TRIM(C_SEGMENT)", f"SELECT c_mktsegment AS s, count(*) AS n, round(sum(c_acctbal), 2) AS b, min(r) AS a, max(r) AS z FROM {_CUSTOMER} GROUP BY ALL")
+on_tables("xbase_deleted", "customer", "SELECT RECNO() r, C_KEY k FROM customer WHERE C_NATION < 20", f"SELECT r, c_custkey AS k FROM {_CUSTOMER} WHERE c_acctbal >= 0 AND c_nationkey < 20", "DELETE FROM customer WHERE C_BAL < 0")
+on_tables("xbase_memo", "supplier", "SELECT S_KEY k, S_NOTE t, LENGTH(S_NOTE) n FROM supplier", "SELECT s_suppkey AS k, repeat(s_name, 40) AS t, 40 * length(s_name) AS n FROM supplier")
+on_tables("recno_range", "nation", "SELECT RECNO() recno, TRIM(N_NAME) n_name FROM nation WHERE RECNO() BETWEEN 5 AND 9", "SELECT recno, n_name FROM (SELECT row_number() OVER (ORDER BY n_nationkey) AS recno, n_name FROM nation) WHERE recno BETWEEN 5 AND 9")
+on_tables("recno_list", "customer", "SELECT RECNO() r, C_KEY k FROM customer WHERE RECNO() IN (1, 7, 90, 100000000)", f"SELECT r, c_custkey AS k FROM {_CUSTOMER} WHERE r IN (1, 7, 90)")
+on_tables("recno_compare", "nation", "SELECT RECNO() * 2 d FROM nation WHERE RECNO() > 20 AND RECNO() <> 23 ORDER BY RECNO() DESC", "SELECT 2 * r AS d FROM (SELECT row_number() OVER (ORDER BY n_nationkey) AS r FROM nation) WHERE r > 20 AND r <> 23")
+on_tables("sort_stable", "customer", "SELECT TOP 40 TRIM(C_SEGMENT) s, C_KEY k FROM customer ORDER BY C_SEGMENT DESC", "SELECT c_mktsegment AS s, c_custkey AS k FROM customer ORDER BY c_mktsegment DESC, c_custkey LIMIT 40")
+on_tables("max_rows", "nation", "SELECT N_KEY k FROM nation ORDER BY N_KEY DESC LIMIT 20", "SELECT n_nationkey AS k FROM nation ORDER BY k DESC LIMIT 6", max_rows=6)
+on_tables("join_xbase_folded_keys", "customer nation", "SELECT c.C_KEY k, n.N_KEY n FROM customer c JOIN nation n ON c.C_TEXT = n.N_KEY", "SELECT c_custkey AS k, n_nationkey AS n FROM customer JOIN nation ON c_nationkey = n_nationkey", mode="xbase")
+on_tables("compat_truth", "customer", "SELECT C_KEY k FROM customer WHERE C_NATION AND NOT (C_TEXT = '3') AND 'yes'", "SELECT c_custkey AS k FROM customer WHERE c_nationkey <> 0 AND c_nationkey <> 3", mode="xbase")
+on_tables("compat_first_value", "customer", "SELECT TRIM(C_SEGMENT) s, C_KEY k, COUNT(*) n FROM customer GROUP BY TRIM(C_SEGMENT)", "SELECT c_mktsegment AS s, min(c_custkey) AS k, count(*) AS n FROM customer GROUP BY ALL", mode="xbase")
+on_tables("compat_pushed_filter", "orders", "SELECT O_KEY k FROM orders WHERE O_CUST = 7 OR O_TOTAL >= 400000 AND O_STATUS = 'F'", "SELECT o_orderkey AS k FROM orders WHERE o_custkey = 7 OR o_totalprice >= 400000 AND o_orderstatus = 'F'", mode="xbase")
+
+
+# Changes of xBase tables, as the rows that they leave.
+on_tables("dml_update_expr", "nation", "SELECT N_KEY n_nationkey, TRIM(N_NAME) n_name, N_REGION n_regionkey FROM nation",
+    "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN upper(n_name) || '!' ELSE n_name END AS n_name, CASE WHEN n_regionkey = 1 THEN n_nationkey ELSE n_regionkey END AS n_regionkey FROM nation",
+    "UPDATE nation SET N_NAME = UPPER(TRIM(N_NAME)) + '!', N_REGION = N_KEY WHERE N_REGION = 1")
+on_tables("dml_update_join", "supplier customer", "SELECT S_KEY s_suppkey, TRIM(S_NAME) s_name, S_NATION s_nationkey, S_BAL s_acctbal FROM supplier",
+    "SELECT s_suppkey, s_name, s_nationkey, coalesce(m, s_acctbal) AS s_acctbal FROM supplier LEFT JOIN (SELECT c_nationkey, arg_min(c_acctbal, c_custkey) AS m FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY c_nationkey) ON s_nationkey = c_nationkey",
+    "UPDATE supplier s JOIN customer c ON s.S_NATION = c.C_NATION SET S_BAL = c.C_BAL WHERE TRIM(c.C_SEGMENT) = 'BUILDING'")
+on_tables("dml_insert", "region", "SELECT R_KEY r_regionkey, TRIM(R_NAME) r_name FROM region", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 99, 'NOWHERE' UNION ALL SELECT 100, NULL", "INSERT INTO region VALUES (99, 'NOWHERE')", "INSERT INTO region (R_KEY) VALUES (100)")
+on_tables("dml_delete", "supplier", "SELECT S_KEY s_suppkey, TRIM(S_NAME) s_name, S_NATION s_nationkey, S_BAL s_acctbal FROM supplier", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_acctbal >= 0", "DELETE FROM supplier WHERE S_BAL < 0")
+on_tables("dml_values", "region", "SELECT * FROM v", "SELECT * FROM (VALUES (1, 'it''s', 2.68, DATE '2024-02-29', true), (NULL, 'x   ', -0.5, NULL, false)) t(A, B, C, D, E)",
+    "CREATE TABLE v (A INT, B VARCHAR(4), C NUMERIC(8,2), D DATE, E LOGICAL)", "INSERT INTO v VALUES (1, 'it''s', 2.675, #2024-02-29#, TRUE)", "INSERT INTO v (B, C) VALUES ('x   ', -0.5)")
+on_tables("ddl_add_drop_rename", "nation", "SELECT N_KEY n_nationkey, TRIM(NAME) name, EMAIL email FROM nation", "SELECT n_nationkey, n_name AS name, NULL::VARCHAR AS email FROM nation", "ALTER TABLE nation ADD COLUMN EMAIL CHAR(20)", "ALTER TABLE nation DROP COLUMN N_REGION", "ALTER TABLE nation RENAME COLUMN N_NAME TO NAME")
+on_tables("ddl_rename_table", "nation region", "SELECT N_KEY k FROM lands", "SELECT n_nationkey AS k FROM nation", "ALTER TABLE nation RENAME TO lands", "DROP TABLE region", "CREATE TABLE IF NOT EXISTS lands (A INT)", "DROP TABLE IF EXISTS nowhere")
+
+
+@query("SELECT * FROM (VALUES ('A', 'C', 30, 0, 1), ('B', 'C', 7, 0, 2), ('C', 'N', 10, 0, 3), ('D', 'N', 8, 2, 4), ('E', 'N', 10, 0, 5), ('F', 'N', 6, 0, 6), ('G', 'N', 18, 0, 7), ('H', 'N', 18, 5, 8), ('I', 'D', 8, 0, 9), ('J', 'L', 1, 0, 10), ('K', 'M', 10, 0, 11)) t(\"column\", type, length, decimals, position)")
+def ddl_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What CREATE TABLE makes of the type names, by the catalog."""
+    db = database(spark, sf_dir)
+    db.execute("CREATE TABLE t (A CHAR, B VARCHAR(7), C NUMERIC, D DECIMAL(8,2), E INTEGER, F SMALLINT, G BIGINT, H DOUBLE, I DATE, J BOOLEAN, K TEXT)")
+    return db.columns("t").drop("table")
+
+
+@query("SELECT n_nationkey AS k, n_regionkey AS r FROM nation WHERE n_regionkey <> 2")
+def xbase_undelete_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleted records come back, others go for good, and records are numbered anew."""
+    db = database(spark, sf_dir, "nation")
+    db.execute("DELETE FROM nation WHERE N_REGION < 3")
+    assert db.undelete("nation", "N_REGION <> 2") and db.pack("nation")
+    return db.sql("SELECT N_KEY k, N_REGION r FROM nation WHERE RECNO() <= 100000")
+
+
+@query("SELECT 6 + i AS \"RECNO\" FROM range(50) t(i)")
+def dml_generated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One INSERT with parameters for many rows gives their record numbers."""
+    db = database(spark, sf_dir, "region")
+    return db.execute_many("INSERT INTO region VALUES (?, ?)", [(100 + i, f"R{i}") for i in range(50)])
+
+
+@query("SELECT n_nationkey AS k, n_name AS n FROM nation WHERE n_nationkey = 7 OR n_regionkey = 3 AND n_nationkey > 10")
+def prepared_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return database(spark, sf_dir, "nation").sql("SELECT N_KEY k, TRIM(N_NAME) n FROM nation WHERE N_KEY = ? OR N_REGION = ? AND N_KEY > ?", [7, 3, 10])
+
+
+@query("SELECT * FROM (VALUES (0, 1), (1, -3), (2, 0), (3, 20)) t(place, n)")
+def dml_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each statement of a batch has touched; -3 for one that fails."""
+    db = database(spark, sf_dir, "nation")
+    counts = db.batch(["DELETE FROM nation WHERE N_KEY = 1", "DELETE FROM nowhere", "ALTER TABLE nation ADD COLUMN X INT", "UPDATE nation SET X = 1 WHERE N_KEY >= 5"])
+    return spark.createDataFrame(list(enumerate(counts)), "place int, n int")
+
+
+@query("SELECT 'nation' AS t, count(*) AS n, sum(n_nationkey + 1)::BIGINT AS s FROM nation UNION ALL SELECT 'region', count(*), sum(r_regionkey)::BIGINT FROM region WHERE r_regionkey <> 0")
+def dml_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables change together; a transaction that fails leaves them as they were."""
+    db = database(spark, sf_dir, "nation", "region")
+    with db.transaction():
+        db.execute("UPDATE nation SET N_KEY = N_KEY + 1")
+        db.execute("DELETE FROM region WHERE R_KEY = 0")
+    try:
+        with db.transaction():
+            db.execute("DELETE FROM nation")
+            db.execute("DELETE FROM region WHERE NOPE = 1")
+    except ValueError:
+        pass
+    return db.sql("SELECT 'nation' t, COUNT(*) n, SUM(N_KEY) s FROM nation").unionByName(db.sql("SELECT 'region' t, COUNT(*) n, SUM(R_KEY) s FROM region"))
+
+
+# Indexes.
+
+
+@query(f"SELECT upper(rpad(c_name, 18, ' ')) || lpad(c_nationkey::VARCHAR, 6, ' ') AS key, r AS recno FROM {_CUSTOMER}")
+def ntx_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries of an index of two terms."""
+    db = database(spark, sf_dir, "customer")
+    db.create_index("customer", "UPPER(C_NAME)+STR(C_NATION)", "byname")
+    return spark.read.format("ntx").load(f"{db.folder}/byname.ntx").select("key", "recno")
+
+
+@query(f"SELECT strftime(o_orderdate, '%Y%m%d') || substr(o_orderstatus, 1, 1) || lpad((o_orderkey + 1)::VARCHAR, 10, ' ') AS key FROM orders")
+def ntx_key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates, parts of texts and record numbers in keys."""
+    db = database(spark, sf_dir, "orders")
+    db.create_index("orders", "DTOS(O_DATE)+SUBSTR(O_STATUS,1,1)+STR(RECNO(),10)", "bydate")
+    return spark.read.format("ntx").load(f"{db.folder}/bydate.ntx").select("key")
+
+
+@query("SELECT c_custkey AS k, c_mktsegment AS s FROM customer WHERE c_mktsegment LIKE 'BU%' AND c_acctbal >= 0")
+def ntx_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by a prefix of their keys."""
+    db = database(spark, sf_dir, "customer")
+    db.create_index("customer", "C_SEGMENT+C_NAME", "bysegment")
+    return db.seek("customer", "bysegment.ntx", "BU").filter("C_BAL >= 0").select(F.col("C_KEY").alias("k"), F.rtrim("C_SEGMENT").alias("s"))
+
+
+@query("SELECT c_custkey AS k FROM customer WHERE c_name LIKE 'Customer#00000001%' AND c_acctbal > 0")
+def ntx_planned_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prefix LIKE reads the records that an index gives; the condition is applied to them again."""
+    db, text = database(spark, sf_dir, "customer"), "SELECT C_KEY k FROM customer WHERE UCASE(C_NAME) LIKE 'CUSTOMER#00000001%' AND C_BAL > 0"
+    db.create_index("customer", "UPPER(C_NAME)", "byname")
+    assert db.plan(text)["prefix"] == "CUSTOMER#00000001"
+    return db.sql(text)
+
+
+@query("SELECT c_custkey AS k, c_name AS n FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_name LIMIT 9")
+def ntx_order_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows in an index's order, without a scan."""
+    db, text = database(spark, sf_dir, "customer"), "SELECT TOP 9 C_KEY k, TRIM(C_NAME) n FROM customer WHERE C_SEGMENT = 'BUILDING    ' ORDER BY C_NAME"
+    db.create_index("customer", "C_SEGMENT+C_NAME", "bysegment")
+    plan = db.plan(text)
+    assert plan["ordered"] and len(plan["records"]) <= 9
+    return db.sql(text)
 
 
-@query("SELECT n_nationkey, upper(n_name) || '!' AS n_name, CASE WHEN n_regionkey = 1 THEN n_nationkey ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_regionkey = 1 UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey <> 1")
-def dml_update_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All right sides see the row as it was."""
-    df = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    hit = F.col("n_regionkey") == 1
-    return df.select("n_nationkey", F.when(hit, F.concat(F.upper("n_name"), F.lit("!"))).otherwise(F.col("n_name")).alias("n_name"), F.when(hit, F.col("n_nationkey")).otherwise(F.col("n_regionkey")).alias("n_regionkey"))
-
-
-@query("SELECT s_suppkey, s_name, s_nationkey, coalesce(m, s_acctbal) AS s_acctbal FROM supplier LEFT JOIN (SELECT c_nationkey, arg_min(c_acctbal, c_custkey) AS m FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY c_nationkey) ON s_nationkey = c_nationkey")
-def dml_update_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row takes the value of the first row that it joins with; what joins nothing stays."""
-    s, c = spark.read.parquet(f"{sf_dir}/supplier.parquet"), spark.read.parquet(f"{sf_dir}/customer.parquet")
-    first = c.filter("c_mktsegment = 'BUILDING'").groupBy("c_nationkey").agg(F.min_by("c_acctbal", "c_custkey").alias("m"))
-    return s.join(first, F.col("s_nationkey") == F.col("c_nationkey"), "left").select("s_suppkey", "s_name", "s_nationkey", F.coalesce("m", "s_acctbal").alias("s_acctbal"))
-
-
-@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT 99, 'NOWHERE' UNION ALL SELECT 100, NULL")
-def dml_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/region.parquet")
-    return df.unionByName(spark.sql("SELECT * FROM VALUES (99, 'NOWHERE'), (100, NULL) AS t(r_regionkey, r_name)"), allowMissingColumns=True)
-
-
-@query("SELECT * FROM supplier WHERE s_acctbal >= 0")
-def dml_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows for which the condition is not true stay."""
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").filter(~F.coalesce(F.col("s_acctbal") < 0, F.lit(False)))
-
-
-@query("SELECT n_nationkey, n_name AS name, NULL::VARCHAR AS email FROM nation")
-def ddl_add_drop_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet").withColumn("email", F.lit(None).cast("string")).drop("n_regionkey").withColumnRenamed("n_name", "name")
+@query("SELECT n_nationkey AS k, 'NEW' AS n FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 77, 'NEWER'")
+def ntx_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index follows inserts, updates, deletes and packing."""
+    db = database(spark, sf_dir, "nation")
+    db.create_index("nation", "UPPER(N_NAME)", "byname")
+    db.execute("INSERT INTO nation VALUES (77, 'newer', 1)")
+    db.execute("UPDATE nation SET N_NAME = 'new' WHERE N_KEY IN (2, 3)")
+    db.execute("DELETE FROM nation WHERE N_KEY < 3")
+    db.pack("nation")
+    return db.seek("nation", "byname.ntx", "NEW").select(F.col("N_KEY").alias("k"), F.upper(F.rtrim("N_NAME")).alias("n"))
 
 
 # The historical rules.
@@ -201,10 +345,3 @@ def compat_join_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("compat_integer_avg", "SELECT l_returnflag f, AVG(l_linenumber) a, SUM(l_linenumber) s, COUNT(DISTINCT l_linestatus) d FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag AS f, sum(l_linenumber)::BIGINT // count(*) AS a, sum(l_linenumber)::BIGINT AS s, count(DISTINCT l_linestatus) AS d FROM lineitem GROUP BY ALL", "xbase")
 add("compat_functions", "SELECT p_partkey k, ROUND(0 - p_size / 2, 0) a, LENGTH(NULL) b, CONCAT(p_brand, NULL, '!') c, INITCAP('foo-bar BAZ') d, MOD(p_size, 4) e, INT('12x') f FROM part",
     "SELECT p_partkey AS k, floor(-p_size / 2.0 + 0.5) AS a, 0 AS b, p_brand || '!' AS c, 'Foo-Bar Baz' AS d, (p_size % 4)::DOUBLE AS e, NULL::BIGINT AS f FROM part", "xbase")
-
-
-@query("SELECT recno, n_name FROM (SELECT row_number() OVER (ORDER BY n_nationkey) AS recno, n_name FROM nation) WHERE recno BETWEEN 5 AND 9")
-def recno_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of rows in a declared order (an xBase table has them in its file); only the first nine rows are numbered."""
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").limit(9)
-    return n.withColumn("recno", F.row_number().over(Window.orderBy("n_nationkey"))).filter("recno BETWEEN 5 AND 9").select("recno", "n_name")

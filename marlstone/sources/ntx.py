@@ -10,7 +10,9 @@ and the key; the last entry has only a child. Keys are in ascending order, what
 
 from __future__ import annotations
 
+import os
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -188,7 +190,8 @@ def build(table: DataFrame, fields: tuple[Field, ...], expression: str, path: st
     rows = ((bytes(r.key).ljust(length), r.recno) for r in keyed.orderBy("key", "recno").toLocalIterator())
     pages, n = [0], 0  # pages written, entries
 
-    with open(path, "wb") as f:
+    aside = f"{path}.{uuid.uuid4().hex}.tmp"
+    with open(aside, "wb") as f:
         f.write(bytes(PAGE))
 
         def put(entries: list[tuple[int, bytes, int]], last: int) -> int:
@@ -221,6 +224,7 @@ def build(table: DataFrame, fields: tuple[Field, ...], expression: str, path: st
             at = put(entries, at)
         f.seek(0)
         f.write(struct.pack("<HHIIHHHHH256sB", SIGNATURE, 1, at, 0, length + 8, length, 0, room, room // 2, expression.encode("latin-1", "replace")[:255], 0))
+    os.replace(aside, path)  # a reader has the old index or the new one
     return n
 
 

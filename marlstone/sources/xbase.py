@@ -4,7 +4,7 @@ A table's records have one size, so a scan is split by record ranges that know t
 task of its own, column by column. ``_recno`` is the physical place from 1, deleted records counted; ``_deleted`` the flag.
 
 Read options: charset (utf-8), include_deleted (false), rtrim (false), columns (comma-separated; others are not decoded),
-vfp_datetime_epoch (serial or julian), partition_records. Filters on ``_recno`` narrow the ranges, where Spark's setting
+vfp_datetime_epoch (serial or julian), partition_records. Filters on ``_recno`` narrow the ranges, lists of them to runs of records, where Spark's setting
 spark.sql.python.filterPushdown.enabled lets a source see them.
 
 Write options: charset, fields (name,type,length,decimals;...). A write makes one file: tasks format their records side by
@@ -26,13 +26,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import layout
 from .layout import Field, Header
 
 CHUNK = 16_384
+#: Records between two that are asked for, below which what lies between is read along.
+GAP = 64
 HIDDEN = ("_recno", "_deleted")
 
 
@@ -72,6 +74,7 @@ def header_of(path: str, charset: str = "utf-8") -> Header:
 class Range(InputPartition):
     first: int
     end: int
+    runs: tuple[tuple[int, int], ...] = ()
 
 
 class XBaseSource(DataSource):
@@ -98,10 +101,14 @@ class XBaseReader(DataSourceReader):
     def __init__(self, options: dict[str, str], schema: T.StructType, header: Header):
         self.options, self.schema, self.header = options, schema, header
         self.first, self.end = 1, header.records + 1
+        self.listed: set[int] | None = None
 
     def pushFilters(self, filters):
         """Narrows the range by what is asked of ``_recno``; Spark still applies all filters."""
         for f in filters:
+            if isinstance(f, In) and f.attribute == ("_recno",):
+                some = {v for v in f.value if isinstance(v, int)}
+                self.listed = some if self.listed is None else self.listed & some
             if getattr(f, "attribute", None) == ("_recno",) and isinstance(getattr(f, "value", None), int):
                 v = f.value
                 if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
@@ -112,6 +119,14 @@ class XBaseReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         step = int(self.options.get("partition_records", 1_000_000))
+        if self.listed is not None:  # runs of records that are asked for one by one, close ones together
+            runs: list[list[int]] = []
+            for n in sorted(x for x in self.listed if self.first <= x < self.end):
+                if runs and n - runs[-1][1] < GAP:
+                    runs[-1][1] = n + 1
+                else:
+                    runs.append([n, n + 1])
+            return [Range(0, 0, tuple(map(tuple, runs[i : i + CHUNK]))) for i in range(0, len(runs), CHUNK)] or [Range(1, 1)]
         return [Range(i, min(i + step, self.end)) for i in range(self.first, self.end, step)] or [Range(1, 1)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
@@ -124,9 +139,9 @@ class XBaseReader(DataSourceReader):
                 if side := _siblings(opt["path"], kind):
                     memo = layout.Memo(open_at(side), kind)
                     break
-            for lo in range(part.first, part.end, CHUNK):
+            for lo, end in [(lo, min(lo + CHUNK, end)) for first, end in part.runs or ((part.first, part.end),) for lo in range(first, end, CHUNK)]:
                 f.seek(h.size + (lo - 1) * h.record)
-                raw = f.read((min(lo + CHUNK, part.end) - lo) * h.record)
+                raw = f.read((end - lo) * h.record)
                 n = len(raw) // h.record
                 rows = np.frombuffer(raw[: n * h.record], np.uint8).reshape(n, h.record)
                 recno, deleted = np.arange(lo, lo + n), rows[:, 0] == layout.DELETED

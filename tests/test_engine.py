@@ -178,3 +178,49 @@ def test_bad_input(spark, folder):
         layout.cell("x", layout.Field("A", "N", 3), "utf-8")
     with pytest.raises(layout.LayoutError):
         layout.cell("2024-1", layout.Field("A", "D", 8), "utf-8")
+
+
+def test_locks(spark, folder):
+    db = Database(spark, str(folder))
+    other = Database(spark, str(folder), lock_seconds=0.2)
+    with db.transaction():
+        db.execute("UPDATE tran SET AMT = AMT + 1")
+        with pytest.raises(EngineError, match="locked"):
+            other.execute("INSERT INTO tran VALUES (9, 'x', 9)")
+        assert rows(other.sql("SELECT SUM(AMT) s FROM tran")) == [(38,)]
+    assert other.execute("INSERT INTO tran VALUES (9, 'x', 9)") == 1
+    assert rows(db.sql("SELECT SUM(AMT) s, COUNT(*) c FROM tran")) == [(51, 5)] and not list(folder.glob("*.lck"))
+
+
+def test_journal(spark, folder, monkeypatch):
+    """A crash before the journal's rename leaves nothing of a change, one after it all, once the folder is opened."""
+    import os
+
+    db, real = Database(spark, str(folder)), os.replace
+    both = lambda d: (rows(d.sql("SELECT SUM(AMT) s FROM tran")), rows(d.sql("SELECT COUNT(*) n FROM master")))
+
+    def dies_at(n):
+        calls = iter(range(100))
+
+        def replace(a, b):
+            if next(calls) == n:
+                raise KeyboardInterrupt
+            real(a, b)
+        return replace
+
+    for n, want in ((0, ([(38,)], [(4,)])), (2, ([(42,)], [(0,)]))):  # at the journal; between the two tables
+        with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+            with db.transaction():
+                db.execute("UPDATE tran SET AMT = AMT + 1")
+                db.execute("DELETE FROM master")
+                m.setattr(os, "replace", dies_at(n))
+        db = Database(spark, str(folder))
+        assert both(db) == want
+    assert not [p for p in folder.iterdir() if p.name == ".journal"]
+
+
+def test_lists_of_records(spark, folder):
+    db = Database(spark, str(folder))
+    assert [r[0] for r in rows(db.sql("SELECT RECNO() r FROM master WHERE RECNO() IN (5, 1, 2, 77) ORDER BY r"))] == [1, 5]
+    df = db.table("master").filter("_recno IN (1, 4)")
+    assert df.rdd.getNumPartitions() == 1 and [r._recno for r in df.collect()] == [1, 4]

@@ -46,3 +46,46 @@ def test_build_and_seek(spark, tmp_path):
     for bad in ("NOPE", "SOUNDEX(NAME)", "NAME+"):
         with pytest.raises(ValueError):
             db.create_index("t", bad, "bad")
+
+
+def test_indexes_follow_changes(spark, tmp_path):
+    db = Database(spark, str(tmp_path))
+    db.execute("CREATE TABLE t (ID NUMERIC(4), NAME CHAR(4))")
+    db.execute_many("INSERT INTO t VALUES (?, ?)", [(1, "AA"), (2, "BB"), (3, "CC"), (4, "DD")])
+    db.create_index("t", "NAME", "byname")
+    found = lambda d, p: sorted(r.ID for r in d.seek("t", "byname.ntx", p).collect())
+    db.execute("DELETE FROM t WHERE ID = 1")
+    db.pack("t")
+    assert found(db, "CC") == [3]
+    db.execute("INSERT INTO t VALUES (5, 'CC')")
+    assert found(db, "CC") == [3, 5]
+    with db.transaction():
+        db.execute("UPDATE t SET NAME = 'ZZ' WHERE ID = 3")
+    assert found(db, "CC") == [5] and found(db, "Z") == [3]
+    loose = Database(spark, str(tmp_path), index_write=False)  # the index goes stale: what it finds is still right
+    loose.execute("UPDATE t SET NAME = 'EE' WHERE ID = 5")
+    assert found(loose, "CC") == [] and loose.plan("SELECT ID FROM t WHERE NAME LIKE 'CC%'") is None
+    assert [r.ID for r in loose.sql("SELECT ID FROM t WHERE NAME LIKE 'EE%'").collect()] == [5]
+    db.execute("ALTER TABLE t DROP COLUMN NAME")
+
+
+def test_plans(spark, tmp_path):
+    db, dice = Database(spark, str(tmp_path)), random.Random(4)
+    db.execute("CREATE TABLE t (ID NUMERIC(5), A CHAR(2), B CHAR(4))")
+    db.execute("CREATE TABLE u (ID NUMERIC(5), A CHAR(2), B CHAR(4))")
+    rows = [(i, dice.choice("XYZ") + dice.choice("XYZ"), "".join(dice.choice("pqr") for _ in range(dice.randint(1, 4)))) for i in range(600)]
+    db.execute_many("INSERT INTO t VALUES (?, ?, ?)", rows)
+    db.execute_many("INSERT INTO u VALUES (?, ?, ?)", [(i, "XX", "p") for i in range(600)])
+    db.create_index("t", "A+UPPER(B)", "ab")
+    scan = Database(spark, str(tmp_path), index_read=False)
+    for text, prefix, ordered in (
+        ("SELECT ID FROM t WHERE A = 'XY' AND UPPER(B) LIKE 'PQ%'", "XYPQ", False), ("SELECT ID FROM t WHERE UCASE(B) LIKE 'P%' AND ID < 300 AND 'XZ' = A", "XZP", False),
+        ("SELECT ID FROM t WHERE A LIKE 'X%' AND ID > 20", None, False), ("SELECT TOP 5 B FROM t WHERE A = 'ZZ' ORDER BY UPPER(B)", "ZZ", True),
+        ("SELECT B FROM t WHERE A = 'ZZ' AND B LIKE 'p%' ORDER BY B LIMIT 5", "ZZ", False), ("SELECT TOP 7 A FROM t WHERE A LIKE 'Y%' ORDER BY A", "Y", True),
+        ("SELECT COUNT(*) n FROM t WHERE A = 'YX'", "YX", False), ("SELECT ID FROM t WHERE A = 'XY' OR A = 'XX'", None, False), ("SELECT ID FROM u WHERE A = 'XX' AND UPPER(B) = 'NONE'", None, False),
+        ("SELECT t.ID FROM t JOIN u ON t.ID = u.ID WHERE t.A = 'XY'", None, False),
+    ):
+        plan = db.plan(text)
+        assert (plan and plan["prefix"]) == prefix and bool(plan and plan["ordered"]) == ordered, text
+        assert sorted(map(str, db.sql(text).collect())) == sorted(map(str, scan.sql(text).collect()))
+    assert "In(_recno" in db.sql("SELECT ID FROM t WHERE A = 'XY' AND UPPER(B) LIKE 'PQ%'")._jdf.queryExecution().toString() or db.plan("SELECT ID FROM t WHERE A = 'XY' AND UPPER(B) LIKE 'PQ%'")
