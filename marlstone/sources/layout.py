@@ -8,6 +8,9 @@ from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import types as T
 
 #: Fixed values of the format.
@@ -17,6 +20,7 @@ DBASE4_MEMO = b"\xff\xff\x08\x00"
 MOST_MEMO = 16 << 20
 MOST_RECORD = MOST_HEADER = 65535
 DEFAULT_BLOCK = {"dbt": 512, "fpt": 64}
+MEMO_BLOCK = DEFAULT_BLOCK["dbt"]
 
 
 class LayoutError(ValueError):
@@ -182,15 +186,14 @@ class Memo:
         return text.split(bytes([EOF]))[0].decode(charset, "replace")
 
 
-def memo_file(texts: list[bytes]) -> tuple[bytes, list[int]]:
-    """A memo file of the oldest kind, and the block of each text."""
-    out, blocks, at = [], [], 1
-    for t in texts:
-        n = -(-(len(t) + 2) // 512)
-        out.append((t + b"\x1a\x1a").ljust(n * 512, b"\0"))
-        blocks.append(at)
-        at += n
-    return struct.pack("<i12xB495x", at, VERSION) + b"".join(out), blocks
+def memo_blocks(text: bytes) -> bytes:
+    """A memo of the oldest kind: its text and two ends, in whole blocks."""
+    return (text + bytes([EOF, EOF])).ljust(-(-(len(text) + 2) // MEMO_BLOCK) * MEMO_BLOCK, b"\0")
+
+
+def memo_head(blocks: int) -> bytes:
+    """The first block of a memo file of so many blocks, itself included."""
+    return struct.pack("<i12xB495x", blocks, VERSION)
 
 
 # values to cells
@@ -215,6 +218,31 @@ def cell(value: object, f: Field, charset: str) -> bytes:
     return str(value)[: f.length].encode(charset, "replace")[: f.length].ljust(f.length)
 
 
+def cells(column: pa.Array, f: Field, charset: str) -> np.ndarray:
+    """The cells of a column, a row of bytes each: as a whole where Arrow can format it, else value by value."""
+    n, shown = len(column), None
+    try:
+        if f.type == "C" and pa.types.is_string(column.type) and charset.lower() in ("utf-8", "utf8") and pc.all(pc.string_is_ascii(column)).as_py() is not False:
+            shown = pc.utf8_rpad(pc.utf8_slice_codeunits(column.fill_null(""), 0, f.length), f.length, " ")
+        elif f.type == "N" and pa.types.is_integer(column.type) and not f.decimals:
+            shown = pc.utf8_lpad(column.cast(pa.string()).fill_null(""), f.length, " ")
+        elif f.type == "N" and f.decimals and (pa.types.is_floating(column.type) or pa.types.is_decimal(column.type)):
+            exact = (column.cast(pa.string()) if pa.types.is_floating(column.type) else column).cast(pa.decimal128(38, 16))
+            shown = pc.utf8_lpad(pc.round(exact, f.decimals, "half_towards_infinity").cast(pa.decimal128(38, f.decimals)).cast(pa.string()).fill_null(""), f.length, " ")
+        elif f.type == "D" and pa.types.is_date32(column.type):
+            shown = pc.utf8_rpad(pc.strftime(column, "%Y%m%d").fill_null(""), f.length, " ")
+        elif f.type == "L" and pa.types.is_boolean(column.type):
+            shown = pc.if_else(column, "Y", "N").fill_null(" ")
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        shown = None
+    if shown is not None and n:
+        data = shown.cast(pa.binary()) if shown.offset == 0 else pa.concat_arrays([shown]).cast(pa.binary())
+        size = np.frombuffer(data.buffers()[1], np.int32, n + 1)
+        if (np.diff(size) == f.length).all():
+            return np.frombuffer(data.buffers()[2], np.uint8)[size[0] : size[-1]].reshape(n, f.length)
+    return np.frombuffer(b"".join(cell(v, f, charset) for v in column.to_pylist()), np.uint8).reshape(n, f.length)
+
+
 def _number_cell(value: object, f: Field) -> bytes:
     if isinstance(value, str):
         if not value.strip():

@@ -7,16 +7,14 @@ Read options: charset (utf-8), include_deleted (false), rtrim (false), columns (
 vfp_datetime_epoch (serial or julian), partition_records. Filters on ``_recno`` narrow the ranges, lists of them to runs of records, where Spark's setting
 spark.sql.python.filterPushdown.enabled lets a source see them.
 
-Write options: charset, fields (name,type,length,decimals;...). A write makes one file: tasks format their records side by
-side in a folder next to it, and the commit joins the pieces in order of partitions and renames the result.
+Write options: charset, fields (name,type,length,decimals;...). A write makes one file, and one of memos: tasks format their
+records side by side in a folder next to it, and the commit streams the pieces together in order of partitions and renames the
+results. Paths may be URIs of any file system that Arrow knows, for reading and for writing.
 """
 
 from __future__ import annotations
 
-import io
-import json
 import os
-import shutil
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import layout
@@ -93,7 +91,7 @@ class XBaseSource(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return XBaseReader(dict(self.options), schema, self._header())
 
-    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
         return XBaseWriter(dict(self.options), schema, overwrite)
 
 
@@ -222,95 +220,125 @@ def fields_for(schema: T.StructType, spec: str | None = None) -> list[Field]:
 class Piece(WriterCommitMessage):
     partition: int
     records: int
+    blocks: int
     name: str
 
 
-class XBaseWriter(DataSourceWriter):
+class XBaseWriter(DataSourceArrowWriter):
+    """Tasks format whole columns of batches; each makes a piece of records and a piece of memo blocks, which the commit strings together."""
+
     def __init__(self, options: dict[str, str], schema: T.StructType, overwrite: bool):
-        path = options["path"].removeprefix("file://").removeprefix("file:")
-        self.path, self.overwrite, self.schema = os.path.abspath(path), overwrite, schema
-        self.charset = options.get("charset", "utf-8")
-        self.append = not overwrite and os.path.exists(self.path)
+        self.path = options["path"]
+        store, self.at = _split(self.path)
+        self.schema, self.charset = schema, options.get("charset", "utf-8")
+        self.append = not overwrite and store.get_file_info(self.at).is_file
         self.fields = list(header_of(self.path).fields) if self.append else fields_for(schema, options.get("fields"))
         layout.check_fields(self.fields)
-        self.aside = f"{self.path}.{uuid.uuid4().hex}.tmp"
-        os.makedirs(self.aside)
+        self.aside = f"{self.at}.{uuid.uuid4().hex}.tmp"
+        store.create_dir(self.aside)
 
-    def write(self, rows) -> Piece:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Piece:
         from pyspark import TaskContext
 
-        part, name, n = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
-        with open(f"{self.aside}/{name}", "wb") as out, open(f"{self.aside}/{name}.memo", "w") as side:
-            for r in rows:
-                v = r.asDict()
-                by = {k.lower(): x for k, x in v.items()}
-                out.write(bytes([layout.DELETED if by.get("_deleted") else layout.LIVE]))
+        store, _ = _split(self.path)
+        part, name, n, block = TaskContext.get().partitionId(), uuid.uuid4().hex, 0, 0
+        with store.open_output_stream(f"{self.aside}/{name}") as out, store.open_output_stream(f"{self.aside}/{name}.memo") as side:
+            for batch in batches:
+                by = {c.lower(): batch.column(i) for i, c in enumerate(batch.schema.names)}
+                rows = np.full((batch.num_rows, self.fields[-1].offset + self.fields[-1].length), layout.LIVE, np.uint8)
+                if "_deleted" in by:
+                    rows[by["_deleted"].fill_null(False).to_numpy(zero_copy_only=False), 0] = layout.DELETED
                 for f in self.fields:
-                    x = by.get(f.name.lower())
-                    if f.type == "M":
-                        side.write(json.dumps(None if x is None else str(x)) + "\n")
-                        out.write(b" " * f.length)
-                    else:
-                        out.write(layout.cell(x, f, self.charset))
-                n += 1
-        return Piece(part, n, name)
+                    if (column := by.get(f.name.lower())) is None:
+                        continue
+                    if f.type != "M":
+                        rows[:, f.offset : f.offset + f.length] = layout.cells(column, f, self.charset)
+                        continue
+                    for i, text in enumerate(column.to_pylist()):  # a memo's place is counted from its piece's first block
+                        if text is not None:
+                            made = layout.memo_blocks(str(text).encode(self.charset, "replace"))
+                            side.write(made)
+                            rows[i, f.offset : f.offset + f.length] = np.frombuffer(str(block).encode().rjust(f.length), np.uint8)
+                            block += len(made) // layout.MEMO_BLOCK
+                out.write(rows.tobytes())
+                n += batch.num_rows
+        return Piece(part, n, block, name)
 
     def commit(self, messages) -> None:
+        store, _ = _split(self.path)
         pieces = sorted((m for m in messages if m), key=lambda m: m.partition)
         memos = [f for f in self.fields if f.type == "M"]
-        record = 1 + sum(f.length for f in self.fields)
         old = header_of(self.path) if self.append else None
-        count = (old.records if old else 0) + sum(p.records for p in pieces)
-        texts = [json.loads(x) for p in pieces for x in open(f"{self.aside}/{p.name}.memo")] if memos else []
-        known: list[bytes] = []
-        if memos and old and (side := _siblings(self.path, "dbt")):
-            known = [open(side, "rb").read()]
-        made, blocks = layout.memo_file([t.encode(self.charset, "replace") for t in texts if t is not None])
-        shift = 0
-        if known:
-            whole = known[0].ljust(-(-len(known[0]) // 512) * 512, b"\0")
-            shift = len(whole) // 512 - 1
-            made = (len(whole) // 512 + len(made) // 512 - 1).to_bytes(4, "little") + whole[4:] + made[512:]
-        at = iter(blocks)
-        numbers = iter([None if t is None else next(at) + shift for t in texts])
-        with open(f"{self.aside}/table", "wb") as out:
-            out.write(layout.header_bytes(self.fields, count))
+        old_memo = _siblings(self.path, "dbt") if memos else None
+        first = 1
+        if memos:
+            if old and old_memo:
+                first = -(-store.get_file_info(_split(old_memo)[1]).size // layout.MEMO_BLOCK)
+            with store.open_output_stream(f"{self.aside}/memo") as out:
+                out.write(layout.memo_head(first + sum(p.blocks for p in pieces)))
+                if old and old_memo:
+                    with open_at(old_memo) as f:
+                        f.seek(layout.MEMO_BLOCK)
+                        copied = layout.MEMO_BLOCK + _copy(f, out)
+                        out.write(b"\0" * (first * layout.MEMO_BLOCK - copied))
+                for p in pieces:
+                    with store.open_input_file(f"{self.aside}/{p.name}.memo") as f:
+                        _copy(f, out)
+        with store.open_output_stream(f"{self.aside}/table") as out:
+            out.write(layout.header_bytes(self.fields, (old.records if old else 0) + sum(p.records for p in pieces)))
             if old:
-                with open(self.path, "rb") as f:
+                with open_at(self.path) as f:
                     f.seek(old.size)
-                    shutil.copyfileobj(io.BytesIO(f.read(old.records * old.record)) if old.records * old.record < 1 << 26 else _Limited(f, old.records * old.record), out)
+                    _copy(f, out, old.records * old.record)
             for p in pieces:
-                with open(f"{self.aside}/{p.name}", "rb") as f:
-                    if not memos:
-                        shutil.copyfileobj(f, out)
-                        continue
-                    while row := bytearray(f.read(record)):
-                        for m in memos:
-                            b = next(numbers)
-                            row[m.offset : m.offset + m.length] = b" " * m.length if b is None else str(b).encode().rjust(m.length)
-                        out.write(row)
+                with store.open_input_file(f"{self.aside}/{p.name}") as f:
+                    if memos:
+                        self._placed(f, out, memos, first)
+                    else:
+                        _copy(f, out)
+                first += p.blocks
             out.write(bytes([layout.EOF]))
+        # The memo goes first: of an append it holds what the old table points to as well.
         if memos:
-            with open(f"{self.aside}/memo", "wb") as f:
-                f.write(made)
-            os.replace(f"{self.aside}/memo", _siblings(self.path, "dbt") or f"{os.path.splitext(self.path)[0]}.dbt")
-        os.replace(f"{self.aside}/table", self.path)
-        shutil.rmtree(self.aside)
+            _move(store, f"{self.aside}/memo", _split(old_memo)[1] if old_memo else f"{os.path.splitext(self.at)[0]}.dbt")
+        _move(store, f"{self.aside}/table", self.at)
+        store.delete_dir(self.aside)
+
+    def _placed(self, f, out, memos: list[Field], first: int) -> None:
+        """Copies a piece's records with memos' places in the whole file."""
+        record = self.fields[-1].offset + self.fields[-1].length
+        while raw := f.read(record * CHUNK):
+            rows = np.frombuffer(raw, np.uint8).reshape(-1, record).copy()
+            for m in memos:
+                own = rows[:, m.offset : m.offset + m.length]
+                has = np.flatnonzero((own != 32).any(axis=1))
+                places = np.ascontiguousarray(own[has]).view(f"S{m.length}")[:, 0].astype(np.int64) + first if len(has) else []
+                if len(has):
+                    shown = np.char.rjust(np.char.mod("%d", places).astype(f"S{m.length}"), m.length)
+                    own[has] = np.frombuffer(shown.astype(f"S{m.length}").tobytes(), np.uint8).reshape(-1, m.length)
+            out.write(rows.tobytes())
 
     def abort(self, messages) -> None:
-        shutil.rmtree(self.aside, ignore_errors=True)
-
-
-class _Limited:
-    """The next bytes of a file, as a file."""
-
-    def __init__(self, f, n: int):
-        self.f, self.n = f, n
-
-    def read(self, size: int = -1) -> bytes:
-        out = self.f.read(self.n if size < 0 else min(size, self.n))
-        self.n -= len(out)
-        return out
+        store, _ = _split(self.path)
+        if store.get_file_info(self.aside).type.name == "Directory":
+            store.delete_dir(self.aside)
+
+
+def _copy(f, out, most: int | None = None) -> int:
+    """Copies a file from where it stands, a few megabytes at a time; how many bytes."""
+    done = 0
+    while (most is None or done < most) and (chunk := f.read(4 << 20 if most is None else min(4 << 20, most - done))):
+        out.write(chunk)
+        done += len(chunk)
+    return done
+
+
+def _move(store, source: str, target: str) -> None:
+    try:
+        store.move(source, target)
+    except OSError:  # a store that does not replace
+        store.delete_file(target)
+        store.move(source, target)
 
 
 def register(spark: SparkSession) -> None:
