@@ -67,6 +67,41 @@ def test_added_spans_find_planted_keys(spark):
     assert len(got & planted) >= 0.9 * len(planted) and len(got - planted) <= 0.1 * len(planted)
 
 
+def test_keys_in_settings_paths_and_urls(spark):
+    """Recall and precision of added spans among the documents of a table, by the way a key is written."""
+    dice = random.Random(23)
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").collect()]
+    draw = lambda letters, n: "".join(dice.choice(letters) for _ in range(n))
+    b64, alnum = secrets.ALPHABETS["base64"], secrets.ALPHABETS["base62"]
+    ways = {
+        "setting": lambda: ("AWS_ACCESS=", draw(b64, 40), ""), "parameter": lambda: ("https://host.example/a-b/x?sig=", draw(alnum, 32), "&t=1"),
+        "path": lambda: ("/srv/data-in/some_folder/", draw(alnum, 40), "/end"), "padded": lambda: ("key ", base64.b64encode(dice.randbytes(32)).decode(), " end"), "prefixed": lambda: ("ghp_", draw(alnum, 36), " "),
+    }
+    planted, texts = {}, []
+    for i, (d, t) in enumerate(rows):
+        if i % 4 == 0:
+            way = list(ways)[i // 4 % len(ways)]
+            a, key, z = ways[way]()
+            planted[d] = (way, len(t) + 1 + len(a), key)
+            t = f"{t}\n{a}{key}{z}"
+        texts.append((d, t))
+    got = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("random")] for r in secrets.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    hit = Counter(way for d, (way, at, key) in planted.items() if any(s < at + len(key) and at < e and min(e, at + len(key)) - max(s, at) >= 0.8 * len(key.rstrip("=")) for s, e in got[d]))
+    total = Counter(way for way, _, _ in planted.values())
+    assert all(hit[w] >= 0.85 * total[w] for w in ways) and sum(hit.values()) >= 0.9 * sum(total.values())
+    wrong = [x for d, x in got.items() if x and d not in planted]
+    assert len(wrong) <= 0.02 * len(planted)
+
+
+def test_rows_of_symbols_are_judged_alike():
+    import numpy as np
+
+    dice = random.Random(5)
+    rows = [[dice.randrange(16) for _ in range(30)] for _ in range(50)] + [[3] * 30, [0, 15] * 15, list(range(15)) * 2]
+    assert np.allclose(secrets.batteries(np.array(rows), 16), [secrets.battery(r, 16) for r in rows])
+    assert secrets.battery([3] * 30, 16) < 1e-6 and secrets.battery([0, 15] * 15, 16) < 1e-6
+
+
 def test_cutoffs():
     counts = Counter()
     assert secrets.cutoffs(counts) == {}
