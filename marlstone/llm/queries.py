@@ -100,8 +100,9 @@ grp AS (SELECT 'own' AS lvl, lang, source, metric, b, count(*) AS n FROM b GROUP
 cum AS (SELECT *, sum(n) OVER (PARTITION BY lvl, lang, source, metric ORDER BY b) AS c, sum(n) OVER (PARTITION BY lvl, lang, source, metric) AS total FROM grp),
 qb AS (SELECT lvl, lang, source, metric, min(total) AS total, min(CASE WHEN c * 100 >= total * 25 THEN b END) AS b25, min(CASE WHEN c * 100 >= total * 75 THEN b END) AS b75 FROM cum GROUP BY ALL),
 q AS (SELECT lvl, lang, source, metric, total, (b25 - 32 * greatest(b25 // 32 - 1, 0)) << greatest(b25 // 32 - 1, 0)::INTEGER AS q25, (b75 - 32 * greatest(b75 // 32 - 1, 0)) << greatest(b75 // 32 - 1, 0)::INTEGER AS q75 FROM qb),
-pick AS (SELECT o.lang, o.source, o.metric, CASE WHEN o.total >= 200 THEN o.q25 WHEN l.total >= 200 THEN l.q25 ELSE a.q25 END AS q25, CASE WHEN o.total >= 200 THEN o.q75 WHEN l.total >= 200 THEN l.q75 ELSE a.q75 END AS q75
-  FROM q o JOIN q l ON l.lvl = 'lang' AND l.metric = o.metric AND l.lang IS NOT DISTINCT FROM o.lang JOIN q a ON a.lvl = 'all' AND a.metric = o.metric WHERE o.lvl = 'own'),
+tongue AS (SELECT l.lang, l.metric, (l.total * l.q25 + {quality.PRIOR} * a.q25) // (l.total + {quality.PRIOR}) AS q25, (l.total * l.q75 + {quality.PRIOR} * a.q75) // (l.total + {quality.PRIOR}) AS q75 FROM q l JOIN q a ON l.lvl = 'lang' AND a.lvl = 'all' AND a.metric = l.metric),
+pick AS (SELECT o.lang, o.source, o.metric, (o.total * o.q25 + {quality.PRIOR} * t.q25) // (o.total + {quality.PRIOR}) AS q25, (o.total * o.q75 + {quality.PRIOR} * t.q75) // (o.total + {quality.PRIOR}) AS q75
+  FROM q o JOIN tongue t ON t.metric = o.metric AND t.lang IS NOT DISTINCT FROM o.lang WHERE o.lvl = 'own'),
 fence AS (SELECT lang, source, max(CASE WHEN metric = 'symbols' THEN q75 + 4 * greatest(q75 - q25, 10) END) AS f1, max(CASE WHEN metric = 'repeats' THEN q75 + 4 * greatest(q75 - q25, 75) END) AS f2,
   max(CASE WHEN metric = 'shouting' THEN q75 + 4 * greatest(q75 - q25, 40) END) AS f3, max(CASE WHEN metric = 'word_length' THEN q75 + 4 * greatest(q75 - q25, 6) END) AS f4 FROM pick GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND symbols <= f1 AND repeats <= f2 AND shouting <= f3 AND word_length <= f4 AS kept, symbols, repeats, shouting, word_length

@@ -53,6 +53,8 @@ def test_quality_keeps_clean_and_columns(spark):
     assert sum(good) / len(good) > 0.9
     bad = [verdict[r.doc_id] for r in labels if r.quality == 0]
     assert sum(bad) / max(len(bad), 1) < 0.2
+    clash = docs.withColumn("_limit_lang", F.lit("x")).withColumn("__limit_lang", F.lit("y")).withColumn("_limit_fence_symbols", F.lit(1))
+    assert quality.keep_good(clash).columns == clash.columns and quality.keep_good(clash).count() == left.count()
     assert quality.judge(docs.limit(0)).count() == 0 and quality.keep_good(odd_docs(spark)).columns == odd_docs(spark).columns
 
 
@@ -77,6 +79,33 @@ def test_sharding(spark):
     assert sharding.place(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_ring_places_keys(spark):
+    """Where each key goes, by a walk of one key at a time: bounded loads, clockwise."""
+    import bisect
+
+    docs = spark.createDataFrame([(i % 150 if i % 7 else None, f"t{i % 40}") for i in range(400)], "doc_id long, text string")
+    for slack in (0.0, 0.1, 5.0):
+        keyed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).collect()
+        got = Counter((r.doc_id, r.text, r.home_shard, r.shard) for r in sharding.assign(docs, "doc_id", ["doc_id", "text"], 7, 5, slack).collect())
+        points, room = sharding.ring(7, 5), sharding.capacities(400, 7, slack)
+        arcs = {}
+        for r in sorted(keyed, key=lambda r: (r.h, r.doc_id is not None, r.doc_id or 0, r.text)):
+            arcs.setdefault(bisect.bisect_left([p for p, _ in points], r.h), []).append(r)
+        want, waiting = Counter(), [(a, a, rs) for a, rs in arcs.items()]
+        for step in range(len(points) + 1):
+            left = []
+            for a, home, rs in sorted(waiting, key=lambda x: -1 if x[0] == len(points) else x[0]):
+                shard = points[(a + step) % len(points)][1]
+                for r in rs[: room[shard]]:
+                    want[r.doc_id, r.text, points[home % len(points)][1], shard] += 1
+                taken = min(room[shard], len(rs))
+                room[shard] -= taken
+                if rs[taken:]:
+                    left.append((a, home, rs[taken:]))
+            waiting = left
+        assert not waiting and got == want
+
+
 def test_sharding_hot_key_and_movement(spark):
     one_key = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
     assert set(Counter(r.shard for r in sharding.place(one_key).collect()).values()) == {100}
