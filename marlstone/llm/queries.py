@@ -22,8 +22,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.corpus_totals(_table(spark, sf_dir, "documents"), VOCABULARY, scratch(spark, "token-rollup"), copies=True)
+def op1_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return tokens.corpus_totals(_table(spark, sf_dir, "documents"), vocabulary, scratch(spark, "token-rollup"), copies=True)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,12 @@ Totals by source, language and tokenizer version are additive, so a batch of cha
 is written: an insert adds a document and its tokens, a delete takes them away, a revision takes the old count from the old
 key and adds the new one to the new key. A batch is written aside and published by one rename; a batch id that is already
 published is not written again, so a batch can be replayed after any failure. ``compact`` folds published batches into a
-base that remembers their ids. State lies in the shared folder and is read through Spark only.
+base that remembers their ids; a batch that is published meanwhile stays a batch of its own, and one whose id the new base has is
+not counted again, whoever publishes it. State lies in the shared folder and is read through Spark only.
 
-Nulls: null sources, languages and versions are keys of their own; a null count is 0. Repeated change rows count each.
-Empty batches are committed too. Extra columns are ignored. Keys whose documents and tokens are all zero are not reported.
+Nulls: null sources, languages and versions are keys of their own; a null count is 0; a change without an op is none. Repeated
+change rows count each. Any text is a batch id, the empty one too. Empty batches are committed too; an empty table has no totals.
+Texts are counted whole, however long. Extra columns are ignored. Keys whose documents and tokens are all zero are not reported.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import delete_on_exit, file_system, importable, materialize
+from .shared import file_system, importable, materialize
 
 KEYS = ("source", "lang", "tokenizer")
 #: Fixed value: how the vocabulary's tokenizer cuts a text into pieces.
@@ -80,12 +82,13 @@ class Rollup:
         row = lambda keys, docs, tokens: F.struct(*keys, F.lit(docs).cast("long").alias("n_docs"), tokens.alias("n_tokens"))
         op = F.col("op")
         signed = (F.when(op == "insert", F.array(row(new, 1, n))).when(op == "delete", F.array(row(new, -1, -n)))
-                  .when(op == "revise", F.array(row(old, -1, -old_n), row(new, 1, n))).otherwise(F.raise_error(F.concat(F.lit("unknown change: "), F.coalesce(op, F.lit("null"))))))
+                  .when(op == "revise", F.array(row(old, -1, -old_n), row(new, 1, n))).when(op.isNull(), F.slice(F.array(row(new, 0, n)), 1, 0))
+                  .otherwise(F.raise_error(F.concat(F.lit("unknown change: "), op))))
         return changes.select(F.explode(signed).alias("x")).select("x.*").groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Adds a batch; False and no change if it was committed before."""
-        name = base64.urlsafe_b64encode(batch_id.encode()).decode()
+        name = "b" + base64.urlsafe_b64encode(batch_id.encode()).decode()
         if name in self._folded():
             return False
         return self._publish({"data": self.deltas(changes)}, f"batches/{name}")
@@ -127,6 +130,8 @@ class Rollup:
 def counted(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", pattern: str = PATTERN) -> DataFrame:
     """Per row: doc_id, source, lang, copy (128-bit hash of the text), guess (a token for four bytes), words, tokens."""
     importable(docs.sparkSession)
+    if not Path(vocabulary).is_file():
+        raise FileNotFoundError(f"no vocabulary of ranks at {vocabulary}")
     shipped = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())  # a vocabulary: about a megabyte
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -147,7 +152,7 @@ def counted(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
 
 
 def corpus_totals(docs: DataFrame, vocabulary: str, root: str, version: str = "byte_bpe_50k", copies: bool = False) -> DataFrame:
-    """Totals of a corpus as its batches leave them.
+    """Totals of a corpus as its batches leave them below ``root``, which is the caller's to keep.
 
     Batch ``load`` inserts every document with its words and, for the BPE tokenizer, a guess from its bytes; ``exact``
     revises the guesses to the tokenizer's counts; ``copies`` deletes all but the least id of equal texts, and, with ``copies``, batch
@@ -165,7 +170,6 @@ def corpus_totals(docs: DataFrame, vocabulary: str, root: str, version: str = "b
     if copies:
         batches["all"] = versions(surplus, "tokens").withColumn("op", F.lit("insert"))
     rollup = Rollup(docs.sparkSession, root)
-    delete_on_exit(docs.sparkSession, root)
     for _ in range(2):
         for name, changes in batches.items():
             rollup.commit(name, changes)

@@ -53,7 +53,13 @@ def test_signed_batches(spark, tmp_path):
     assert roll.commit("empty", spark.createDataFrame([], schema)) and as_dict(roll.totals()) == {k: tuple(v) for k, v in want.items()}
     with pytest.raises(Exception, match="unknown change"):
         roll.commit("bad", spark.createDataFrame([("upsert", "a", "en", "v1", 1)], "op string, source string, lang string, tokenizer string, n_tokens long"))
-    assert not (tmp_path / "roll/batches" / base64.urlsafe_b64encode(b"bad").decode()).exists()
+    before = as_dict(roll.totals())
+    nothing = spark.createDataFrame([(None, "a", "en", "v1", 9), ("insert", "a", "en", "v1", 2)], "op string, source string, lang string, tokenizer string, n_tokens long")
+    assert roll.commit("", nothing) and not roll.commit("", nothing)  # an empty id is one, a null op no change
+    n, t = before.get(("a", "en", "v1"), (0, 0))
+    assert as_dict(roll.totals()) == before | {("a", "en", "v1"): (n + 1, t + 2)}
+    assert roll.compact() and not roll.commit("", nothing) and as_dict(roll.totals()) == before | {("a", "en", "v1"): (n + 1, t + 2)}
+    assert not (tmp_path / "roll/batches" / f"b{base64.urlsafe_b64encode(b'bad').decode()}").exists()
 
 
 def test_corpus_totals(spark, tmp_path):
