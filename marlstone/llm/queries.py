@@ -127,7 +127,7 @@ dg AS (SELECT DISTINCT dr, doc_id, k, array_to_string(list_slice(w, p, p + k - 1
 hit AS (SELECT dr, doc_id, ig.ir, item_id, count(*)::BIGINT AS n_shared FROM dg JOIN ig USING (k, g) GROUP BY ALL)
 SELECT doc_id, item_id, n_shared, n::BIGINT AS n_item, n_shared / n AS containment FROM hit JOIN size USING (ir) WHERE 5 * n_shared >= 4 * n"""
 
-_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, name, line.replace("'", "''")) for i, (name, line) in enumerate(licences.TEMPLATES))
+_TEMPLATES = ", ".join("({}, '{}', {})".format(i, name, [w.replace("'", "''") for w in licences.plain_tokens(text)]) for i, (name, text) in enumerate(licences.TEMPLATES))
 
 
 def _words_of(x: str) -> str:
@@ -136,21 +136,24 @@ def _words_of(x: str) -> str:
 
 ORACLE_SQL["op5_license_scans"] = rf"""
 WITH f AS (SELECT row_number() OVER () AS r, doc_id, concat_ws('/', source, lang, doc_id) AS path, coalesce(text, '') AS t FROM documents),
-tp AS (SELECT * FROM (VALUES {_TEMPLATES}) v(i, name, line)),
-tw AS (SELECT i, name, w, count(*) AS n FROM (SELECT i, name, unnest({_words_of('line')}) AS w FROM tp) GROUP BY ALL),
+tp AS (SELECT * FROM (VALUES {_TEMPLATES}) v(i, name, ws)),
+tw AS (SELECT i, w, count(*) AS n, min(o) AS o FROM (SELECT i, unnest(ws) AS w, unnest(range(len(ws))) AS o FROM tp) GROUP BY ALL),
 total AS (SELECT count(*) AS n FROM f),
-df AS (SELECT w, count(*) AS d FROM (SELECT DISTINCT r, w FROM (SELECT r, unnest({_words_of('t')}) AS w FROM f)) WHERE w IN (SELECT w FROM tw) GROUP BY w),
+tk AS (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM (SELECT r, {_words_of('t')} AS ws FROM f)),
+df AS (SELECT w, count(DISTINCT r) AS d FROM tk WHERE w IN (SELECT w FROM tw) GROUP BY w),
 idf AS (SELECT w, 1 + ln((1 + total.n) / (1 + coalesce(d, 0))::DOUBLE) AS x FROM (SELECT DISTINCT w FROM tw) LEFT JOIN df USING (w), total),
-unit AS (SELECT i, name, w, n * x / sqrt(sum((n * x) ** 2) OVER (PARTITION BY i)) AS u FROM tw JOIN idf USING (w)),
-ln_ AS (SELECT r, k, line FROM (SELECT r, string_split(t, chr(10)) AS ls FROM f), LATERAL (SELECT unnest(ls) AS line, unnest(range(len(ls))) AS k)),
-lw AS (SELECT r, k, w, count(*) AS n FROM (SELECT r, k, unnest({_words_of('line')}) AS w FROM ln_) GROUP BY ALL),
-lx AS (SELECT r, k, w, lw.n, coalesce(x, 1 + ln(1 + total.n)) AS x FROM lw LEFT JOIN idf USING (w), total),
-norm AS (SELECT r, k, sqrt(sum((n * x) ** 2)) AS norm, sum(n) AS words FROM lx GROUP BY ALL),
-score AS (SELECT r, k, i, name, round(sum(lx.n * x * u) / any_value(norm), 9) AS score, any_value(words) AS words FROM lx JOIN unit USING (w) JOIN norm USING (r, k) GROUP BY r, k, i, name),
-best AS (SELECT r, k, score, name, words FROM score QUALIFY row_number() OVER (PARTITION BY r, k ORDER BY score DESC, name) = 1),
-own AS (SELECT r, first(name ORDER BY score DESC, name) AS own, max(score) AS score, sum(words) AS spent FROM best WHERE score >= 0.8 GROUP BY r),
-g AS (SELECT f.r, doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS folder, own, score, own IS NOT NULL AND (regexp_matches(string_split(path, '/')[-1], '{licences.LICENCE_FILE}')
-  OR len(list_filter(regexp_split_to_array(t, '{_SPACE}'), lambda w: w <> '')) - spent <= {licences.MOST_OTHER_WORDS}) AS speaks FROM f LEFT JOIN own ON f.r = own.r),
+unit AS (SELECT i, w, o, n * x / sqrt(sum((n * x) ** 2) OVER (PARTITION BY i)) AS u FROM tw JOIN idf USING (w)),
+lead AS (SELECT i, w, o FROM (SELECT *, 1 - coalesce(sum(u * u) OVER (PARTITION BY i ORDER BY round(u, 9) DESC, w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM unit) WHERE sqrt(greatest(rest, 0)) >= {licences.THRESHOLD} - 1e-6),
+win AS (SELECT DISTINCT r, i, greatest(p - o, 0) AS s FROM tk JOIN lead USING (w)),
+ww AS (SELECT win.r, win.i, win.s, w, count(*) AS n FROM win JOIN tp USING (i) JOIN tk ON tk.r = win.r AND tk.p >= s AND tk.p < s + len(ws) GROUP BY ALL),
+score AS (SELECT r, i, s, round(sum(n * coalesce(x, 1 + ln(1 + (SELECT n FROM total))) * coalesce(u, 0)) / sqrt(sum((n * coalesce(x, 1 + ln(1 + (SELECT n FROM total)))) ** 2)), 9) AS score
+  FROM ww LEFT JOIN idf USING (w) LEFT JOIN unit USING (i, w) GROUP BY r, i, s),
+good AS (SELECT r, s, score, name, len(ws) AS l FROM score JOIN tp USING (i) WHERE score >= {licences.THRESHOLD}),
+own AS (SELECT r, first(name ORDER BY score DESC, name) AS own, max(score) AS score FROM good GROUP BY r),
+spent AS (SELECT good.r, count(DISTINCT p) AS spent FROM good JOIN tk ON tk.r = good.r AND tk.p >= s AND tk.p < s + l GROUP BY good.r),
+size AS (SELECT r, count(*) AS words FROM tk GROUP BY r),
+g AS (SELECT f.r, doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS folder, own, score, own IS NOT NULL AND (regexp_matches(string_split(path, '/')[-1], '{licences.LICENCE_FILE}') OR words - spent <= {licences.MOST_OTHER_WORDS}) AS speaks
+  FROM f LEFT JOIN own ON f.r = own.r LEFT JOIN spent ON f.r = spent.r LEFT JOIN size ON f.r = size.r),
 dirs AS (SELECT folder AS dir, own AS lic FROM (SELECT folder, own, count(*) AS n FROM g WHERE speaks GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY n DESC, own) = 1),
 near AS (SELECT folder, arg_max(dir, length(dir)) AS from_dir, arg_max(lic, length(dir)) AS lic FROM (SELECT DISTINCT folder FROM g WHERE own IS NULL) JOIN dirs ON dir = '' OR folder = dir OR starts_with(folder, dir || '/') GROUP BY folder)
 SELECT doc_id, path, coalesce(own, lic) AS licence, score, CASE WHEN own IS NOT NULL THEN 'own' WHEN lic IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis, CASE WHEN own IS NULL THEN from_dir END AS from_dir
