@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .cursor import Cursor
+from .errors import EngineError
 from .plans import compiler, indexes, syntax
 from .session import importable
 from .sources import layout, ntx, xbase
@@ -49,14 +51,6 @@ MOST_FOUND, MOST_SHARE, SAMPLE = 10_000, 4, 64
 JOURNAL = ".journal"
 
 
-class EngineError(Exception):
-    """Carries an SQLSTATE."""
-
-    def __init__(self, message: str, sqlstate: str = "42000"):
-        super().__init__(message)
-        self.sqlstate = sqlstate
-
-
 def field_of(name: str, kind: str, sizes: Sequence[int]) -> Field:
     if len(name) > 10 or not name.isascii() or not name.replace("_", "a").isalnum() or not name[0].isalpha():
         raise EngineError(f"column name {name!r}: up to 10 letters, digits and _, a letter first")
@@ -235,6 +229,10 @@ class Database:
 
         return compiler.select(query, table, mode or self.mode, params, self.max_rows)
 
+    def cursor(self, text: str, params: Sequence = (), mode: str | None = None, timeout: float | None = None) -> Cursor:
+        """A query's rows one after the other, with typed getters."""
+        return Cursor(self.sql(text, params, mode), timeout)
+
     def execute(self, text: str, params: Sequence = ()) -> DataFrame | int:
         """A query's DataFrame, or how many rows a change has touched (0 for definitions)."""
         s = syntax.parse(text)

@@ -224,3 +224,30 @@ def test_lists_of_records(spark, folder):
     assert [r[0] for r in rows(db.sql("SELECT RECNO() r FROM master WHERE RECNO() IN (5, 1, 2, 77) ORDER BY r"))] == [1, 5]
     df = db.table("master").filter("_recno IN (1, 4)")
     assert df.rdd.getNumPartitions() == 1 and [r._recno for r in df.collect()] == [1, 4]
+
+
+def test_cursor(spark, folder):
+    from decimal import Decimal
+
+    db = Database(spark, str(folder))
+    c = db.cursor("SELECT C_HEAD, NAME, BAL, DOB, OK, '12.5' t FROM master ORDER BY RECNO()")
+    assert [tuple(x) for x in c.columns][:3] == [("C_HEAD", "bigint", 6, 0), ("NAME", "string", 8, 0), ("BAL", "double", 10, 2)]
+    with pytest.raises(EngineError):
+        c.get(1)
+    assert c.next() and c.get(1) == 1 and c.get("name", "string") == "CAlpha  " and c.get("BAL", "int") == 100 and c.get("bal", "decimal") == Decimal(101)
+    assert c.get("DOB", "timestamp") == dt.datetime(2024, 2, 29) and c.get("dob", "string") == "2024-02-29" and c.get("OK", "bool") is True and c.get("ok", "string") == "true"
+    assert c.get("t", "float") == 12.5 and c.get("t", "int") == 12 and c.get("t", "bytes") == b"12.5" and c.get("name", "int") == 0 and c.get("name", "date") is None
+    assert c.next() and c.next() and c.get("BAL", "int") == 0 and c.was_null and c.get("BAL") is None and c.get("BAL", "decimal") is None and c.get("ok", "bool") is False and not c.was_null
+    for bad in (0, 7, "nope"):
+        with pytest.raises(EngineError, match="Column not found") as e:
+            c.get(bad)
+        assert (e.value.sqlstate, e.value.code) == ("42S22", 17006)
+    assert len(list(c)) == 1 and not c.next()
+    slow = db.cursor("SELECT ENTRY FROM tran", timeout=0.5)
+    slow.timeout = 1e-6
+    with pytest.raises(EngineError) as e:
+        slow.next()
+    assert e.value.sqlstate == "HYT00"
+    with pytest.raises(EngineError) as e:
+        db.sql("SELECT A FROM nowhere")
+    assert (e.value.sqlstate, e.value.code) == ("42S02", 17007)
