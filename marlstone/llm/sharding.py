@@ -12,7 +12,7 @@ With ``slack`` 0 the capacities are exact quotas, so row counts differ by one at
 holds up to ceil((1 + slack) * rows / shards) and fewer keys move when shards come or go.
 
 Nulls: a null key hashes like any other and overflows clockwise, so a heap of null keys spreads; a null text has no bytes.
-Repeated rows each get a slot of their own. An empty table gives an empty result. Extra columns are kept by ``shard_documents``.
+Repeated rows each get a slot of their own. Whole texts are measured, however long. An empty table gives an empty result. Extra columns are kept by ``shard_documents``.
 """
 
 from __future__ import annotations

@@ -75,6 +75,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is configured."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         delete_on_exit(spark, path)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -140,7 +142,7 @@ def running_totals(df: DataFrame, groups: Sequence[str], order: Sequence[str], w
     """Each row's place in its group, and the weight of the group's rows before it, without a task that gathers a group.
 
     Rows are range-partitioned by group and order, with a salt last, so that neither a hot group nor a heap of equal rows
-    meets in one task. Totals of the partitions give each its start; a window runs within a partition only. Rows that are
+    meets in one task. There are as many partitions as the session sets for shuffles. Totals of the partitions give each its start; a window runs within a partition only. Rows that are
     equal in ``groups`` and ``order`` are interchangeable: they get consecutive places in some order.
 
     ``out`` names two columns: the place, from 0, and the weight before the row (both long).

@@ -160,21 +160,22 @@ def _linked(values: list[int], radius: int, free: list[tuple[int, int]]) -> Iter
         tree.add(v)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of sorted batches as arrays that hold whole runs of the first column."""
-    held: list[np.ndarray] | None = None
+    held: list[list[np.ndarray]] = []
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols)]
         if not len(cols[0]):
             continue
         cut = int(np.searchsorted(cols[0], cols[0][-1]))
-        held = [c[cut:] for c in cols]
-        if cut:
-            yield tuple(c[:cut] for c in cols)
-    if held is not None and len(held[0]):
-        yield tuple(held)
+        if held and (cut or cols[0][0] != held[-1][0][0]):
+            yield [np.concatenate(x) for x in zip(*held, [c[:cut] for c in cols])]
+            held = []
+        elif cut:
+            yield [c[:cut] for c in cols]
+        held.append([c[cut:] for c in cols])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
 
 
 def link(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
