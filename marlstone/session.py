@@ -43,6 +43,10 @@ def ship(spark: SparkSession) -> None:
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder in the one that driver and executors share, gone when the driver's JVM ends; a local one only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     base = base.removeprefix("file://").removeprefix("file:") if base else tempfile.mkdtemp(prefix="marlstone-")
     if "://" in base:
         raise ValueError(f"a folder of tables must be a mounted path, not {base}")
