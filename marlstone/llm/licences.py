@@ -109,7 +109,7 @@ def _literal_map(pairs: dict) -> Column:
 
 
 def declared(files: DataFrame, text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> tuple[DataFrame, list[str]]:
-    """``files`` with four columns, whose names are returned: licence, score, words, words in licences' windows."""
+    """``files`` with four columns, whose names are returned: licence, score, words (0 without any leading word), words in licences' windows."""
     names = fresh(files, "_licence", "_score", "_n_words", "_n_licence")
     (windows,) = fresh(files, "_windows")
     tokens = _tokens(F.col(text))
@@ -125,7 +125,7 @@ def declared(files: DataFrame, text: str = "text", templates=TEMPLATES, threshol
         for w in sorted(leading(u, threshold)):
             proposes.setdefault(w, []).append((i, plain_tokens(t).index(w)))
     starts = F.create_map(*[x for w, at in sorted(proposes.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(i).alias("t"), F.lit(o).alias("o")) for i, o in at]))])
-    rough = "|".join(f"\\Q{w}\\E" for w in sorted(proposes))
+    rough = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(rf'\Q{w}\E' for w in sorted(proposes))})(?![\p{{L}}\p{{N}}])"
     unit = F.array(*[_literal_map(u) for u in units])
 
     def score(window: Column, template: Column) -> Column:
@@ -153,7 +153,7 @@ def declared(files: DataFrame, text: str = "text", templates=TEMPLATES, threshol
 
     nothing = F.lit(None).cast("array<struct<score: double, licence: string, s: int, n: int>>")
     found = F.when(F.lower(F.col(text)).rlike(rough), let(tokens, lambda t: F.struct(F.size(t).alias("n"), F.filter(scored(t), lambda x: x["score"] >= threshold).alias("good"))))
-    out = files.withColumn(windows, F.coalesce(found, F.struct(F.size(tokens).alias("n"), F.coalesce(nothing, F.array()).alias("good"))))
+    out = files.withColumn(windows, F.coalesce(found, F.struct(F.lit(0).alias("n"), F.coalesce(nothing, F.array()).alias("good"))))
     good = F.col(f"{windows}.good")
     best = F.reduce(good, F.struct(F.lit(-1.0).alias("score"), F.lit(None).cast("string").alias("licence")), lambda a, b: F.when((b["score"] > a["score"]) | ((b["score"] == a["score"]) & (b["licence"] < a["licence"])), F.struct(b["score"], b["licence"])).otherwise(a))
     covered = F.size(F.array_distinct(F.flatten(F.transform(good, lambda x: F.sequence(x["s"], x["s"] + x["n"] - 1)))))
