@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Database
+from .errors import code_of, failure
 from .operators import compat
 from .plans import compiler, syntax
 from .session import workspace
@@ -147,6 +148,9 @@ for _name, _a, _b in (
     add(_name, f"{_OD}{_a} FROM orders", f"{_ODO}{_b} FROM orders")
 add("fn_hms", "SELECT event_id k, HOUR(ts) a, MINUTE(ts) b, SECOND(ts) c FROM events", "SELECT event_id AS k, hour(ts) AS a, minute(ts) AS b, second(ts) AS c FROM events")
 
+add("fn_now_rand", "SELECT r_regionkey k, IIF(CURRENT_DATE() > #2020-01-01#, 1, 0) a, IIF(YEAR(NOW()) >= 2024, 1, 0) b, IIF(RAND() >= 0 AND RAND() < 1, 1, 0) c, IIF(CURRENT_TIMESTAMP() >= #2024-01-01#, 1, 0) d FROM region",
+    "SELECT r_regionkey AS k, 1 AS a, 1 AS b, 1 AS c, 1 AS d FROM region")
+
 # xBase tables. Names have ten characters at most.
 
 TABLES = {
@@ -267,6 +271,28 @@ def dml_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return db.sql("SELECT 'nation' t, COUNT(*) n, SUM(N_KEY) s FROM nation").unionByName(db.sql("SELECT 'region' t, COUNT(*) n, SUM(R_KEY) s FROM region"))
 
 
+@query("SELECT * FROM (VALUES (0, '42S02', 17007), (1, '42S22', 17006), (2, '42000', 17001), (3, '42000', 17001), (4, '42000', 17001), (5, '42000', 17001), (6, '07001', 17008), (7, '22003', 17009), (8, '22003', 17009), (9, '42S01', 17000)) t(place, sqlstate, code)")
+def errors_by_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes wrong with tables, columns, * beside aggregates, conditions of joins, syntax, types, parameters and values."""
+    db, out = database(spark, sf_dir, "nation", "region", mode="xbase"), []
+    for text in ("SELECT A FROM nowhere", "INSERT INTO nation (NOPE) VALUES (1)", "SELECT *, COUNT(*) FROM nation", "SELECT n.N_KEY FROM nation n JOIN region r ON n.N_REGION > r.R_KEY", "SELECT FROM nation", "CREATE TABLE t (A POINT)",
+                 "INSERT INTO nation VALUES (?, 'x', 1)", "INSERT INTO region (R_KEY) VALUES (12345678)", "UPDATE nation SET N_KEY = N_KEY + 10000000", "CREATE TABLE nation (A INT)"):
+        try:
+            db.execute(text)
+        except Exception as e:  # noqa: BLE001
+            out.append(failure(e))
+    return spark.createDataFrame([(i, s, code_of(s)) for i, s in enumerate(out)], "place int, sqlstate string, code int")
+
+
+@query("SELECT c_custkey AS k, trunc(c_acctbal)::BIGINT AS i, rpad(c_name, 18, ' ') AS s, c_nationkey <> 0 AS b, round(c_acctbal)::BIGINT AS d FROM customer WHERE c_nationkey < 3")
+def cursor_getters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a cursor by its typed getters."""
+    c, out = database(spark, sf_dir, "customer").cursor("SELECT C_KEY, C_BAL, C_NAME, C_NATION FROM customer WHERE C_NATION < 3"), []
+    while c.next():
+        out.append((c.get(1, "int"), c.get("c_bal", "int"), c.get("C_NAME", "string"), c.get(4, "bool"), int(c.get(2, "decimal"))))
+    return spark.createDataFrame(out, "k bigint, i bigint, s string, b boolean, d bigint")
+
+
 # Indexes.
 
 

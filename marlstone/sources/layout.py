@@ -27,7 +27,7 @@ class LayoutError(ValueError):
     """A file that is not in the layout, or a value that does not fit."""
 
     def __init__(self, message: str, sqlstate: str = "58030"):
-        super().__init__(message)
+        super().__init__(f"{message} [SQLSTATE {sqlstate}]")  # a task's error comes to the driver as a text
         self.sqlstate = sqlstate
 
 
