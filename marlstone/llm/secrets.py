@@ -55,6 +55,8 @@ _VALUES = {name: {c: i for i, c in enumerate(a)} for name, a in ALPHABETS.items(
 LENGTHS = (20, 26, 34, 44, 60, 90)
 RATE = 0.01
 BINS = 1000
+#: Texts of which decoys are judged at a time.
+TEXTS = 32
 
 
 #: Of each alphabet, the value of each Latin-1 character: its own, that of its other case, or one that stands for it.
@@ -137,25 +139,24 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
-def decoys(text: str, strata: list[str]) -> Iterator[tuple[str, np.ndarray]]:
-    """For each stratum the p-values of the ordinary strings of that length that the whole text makes.
+def decoys(texts: list[str], strata: list[str]) -> Iterator[tuple[str, np.ndarray]]:
+    """For each stratum the p-values of the ordinary strings of that length that whole texts make.
 
     They are made as names are made: words one after the other, some with a capital, a number after every third where the alphabet
     has digits, and an underscore between where it has one. Characters that the alphabet lacks are folded into it.
     """
-    words = text.split()
-    cased = [w.capitalize() if i % 3 == 1 else w.lower() for i, w in enumerate(words)]
-    lines: dict[tuple[bool, bool], np.ndarray] = {}
+    cased = [[w.capitalize() if i % 3 == 1 else w.lower() for i, w in enumerate(t.split())] for t in texts]
+    lines: dict[tuple[bool, bool], list[np.ndarray]] = {}
     for stratum in strata:
         name, kind = stratum.split("/")
         of, n = _VALUES[name], LENGTHS[int(kind)]
         how = ("0" in of or "7" in of, "_" in of)
         if how not in lines:
-            parts = [x for i, w in enumerate(cased) for x in ((w, str(ord(w[0]) * 7919 % 10_000)) if i % 3 == 2 else (w,))] if how[0] else cased
-            lines[how] = np.frombuffer(("_" if how[1] else "").join(parts).encode("latin-1", "replace"), np.uint8)
-        line = lines[how]
-        if len(line) >= n:
-            yield stratum, batteries(_FOLDED[name][line[: len(line) // n * n]].reshape(-1, n), len(of))
+            parts = [[x for i, w in enumerate(ws) for x in ((w, str(ord(w[0]) * 7919 % 10_000)) if i % 3 == 2 else (w,))] for ws in cased] if how[0] else cased
+            lines[how] = [np.frombuffer(("_" if how[1] else "").join(p).encode("latin-1", "replace"), np.uint8) for p in parts]
+        rows = np.concatenate([x[: len(x) // n * n] for x in lines[how]]).reshape(-1, n)
+        if len(rows):
+            yield stratum, batteries(_FOLDED[name][rows], len(of))
 
 
 def cutoffs(counts: dict[tuple[str, int], tuple[int, int]]) -> dict[str, float]:
@@ -202,8 +203,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = {s: np.zeros(BINS + 1, np.int64) for s in strata}
-            for t in batch.column(0).to_pylist():
-                for stratum, p in decoys(t or "", strata):
+            for at in range(0, batch.num_rows, TEXTS):
+                for stratum, p in decoys([t or "" for t in batch.column(0).slice(at, TEXTS).to_pylist()], strata):
                     seen[stratum] += np.bincount((p * BINS).astype(np.int64), minlength=BINS + 1)[: BINS + 1]
             rows = [(s, b, int(n)) for s, of in seen.items() for b, n in enumerate(of) if n]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["stratum", "bin", "n"])
