@@ -4,7 +4,7 @@ The pattern of a text is the set of sources that hold it. Documents are aggregat
 routes the words of patterns to the sources' quotas, with costs that grow with every repetition of a text, whichever
 source takes it. So a source first takes what only it has, and shared or repeated texts last. Each pattern and source then
 takes its share in the order of a seeded hash: whole documents, none more than twice its size. What whole documents leave of
-a quota is filled with the largest others that fit.
+a quota is made up for by a few that are used once more or less.
 
 The flow runs on the driver over patterns, not documents: a row for each pattern that occurs and each of its members, and for
 each source. More than MOST_CELLS of them are an error, never cut. Sums and places are computed by DataFrame operations, and
@@ -18,6 +18,7 @@ by ``mixed_documents``.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,8 +36,8 @@ PASSES = 2
 SEED = 2024
 #: Sources, and pairs of a pattern and a member, that the driver's flow takes.
 MOST_CELLS = 2_000_000
-#: Rounds in which what is left of quotas is filled up.
-FILLS = 3
+#: Rounds in which what whole documents leave of quotas, or take beyond them, is made up for.
+ROUNDS = 2
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = PASSES) -> list[float]:
@@ -117,29 +118,52 @@ def _taken(measured: DataFrame) -> DataFrame:
     whole = F.col("times") + (F.col("before") + F.col("size") <= F.col("rest")).cast("bigint")
     placed = materialize(ranked.withColumn("uses", F.when(F.col("size") > 0, whole).otherwise(F.lit(0))).drop("times", "rest", "before"), "placed")
 
-    # Whole documents leave a little of each quota: the largest of those that fit, of each power of two, fill it up, or the least above.
+    # Whole documents leave a little of each quota: a few documents of each size come or go to make up for it.
     got = {r[0]: r[1] for r in _rows(placed.groupBy("sid").agg(F.sum(F.col("size") * F.col("uses"))))}
     left = {i: q - got.get(i, 0) for i, q in quotas.items()}
-    more: dict[tuple[int, int], int] = {}
-    spare = placed.filter((F.col("size") > 0) & (F.col("uses") < PASSES))
-    for _ in range(FILLS):
-        short = spark.createDataFrame([(i, n) for i, n in left.items() if n > 0], "s_sid int, left bigint")
-        used = spark.createDataFrame([(*k,) for k in more], "u_class int, u_place bigint")
-        fits = spare.join(hint_if_small(used, 200_000), (F.col("class") == F.col("u_class")) & (F.col("place") == F.col("u_place")), "left_anti")
-        fits = fits.join(hint_if_small(short, 200_000), F.col("sid") == F.col("s_sid")).filter(F.col("size") < 2 * F.col("left"))
-        one = F.struct("size", "turn", "class", "place")
-        found = _rows(fits.groupBy("sid", "uses", F.floor(F.log2("size")).alias("bits")).agg(F.max(one).alias("high"), F.min(one).alias("low")))
-        for last in (False, True):  # those that fit; then those that overshoot by less than what is short
-            for r in sorted(found, key=lambda r: (r["sid"], r["uses"], r["bits"] if last else -r["bits"])):
-                for x in (r["low"], r["high"]) if last else (r["high"], r["low"]):
-                    if x["size"] < (1 + last) * left[r["sid"]] + (not last) and (x["class"], x["place"]) not in more:
-                        more[x["class"], x["place"]] = 1
-                        left[r["sid"]] -= x["size"]
-        if not found:
+    moved: dict[tuple[int, int], int] = {}
+    for _ in range(ROUNDS):
+        short = spark.createDataFrame([(i,) for i, n in left.items() if n], "s_sid int")
+        used = spark.createDataFrame([(*k,) for k in moved], "u_class int, u_place bigint")
+        fits = placed.filter("size > 0").join(hint_if_small(used, 200_000), (F.col("class") == F.col("u_class")) & (F.col("place") == F.col("u_place")), "left_anti")
+        one = F.struct("size", "class", "place", "uses")
+        some = fits.join(hint_if_small(short, 200_000), F.col("sid") == F.col("s_sid")).groupBy("sid", "uses", F.floor(F.log2("size")).alias("bits")).agg(
+            F.array_distinct(F.array(F.max(one), F.min(one), F.max_by(one, F.struct("turn", "class", "place")), F.min_by(one, F.struct("turn", "class", "place")))).alias("docs"))
+        by_source: dict[int, dict[tuple[int, int], tuple[int, int]]] = {}
+        for r in _rows(some):
+            by_source.setdefault(r["sid"], {}).update({(x["class"], x["place"]): (x["size"], x["uses"]) for x in r["docs"]})
+        for i, docs_ in sorted(by_source.items()):
+            steps = settle(left[i], docs_)
+            moved |= steps
+            left[i] -= sum(n * docs_[k][0] for k, n in steps.items())
+    changed = spark.createDataFrame([(*k, n) for k, n in moved.items()], "a_class int, a_place bigint, more int")
+    out = placed.join(hint_if_small(changed, 200_000), (F.col("class") == F.col("a_class")) & (F.col("place") == F.col("a_place")), "left")
+    return out.select("key", "size", "source_size", "target", (F.col("size") * (F.col("uses") + F.coalesce("more", F.lit(0)))).alias("taken"))
+
+
+def settle(left: int, docs: dict[tuple[int, int], tuple[int, int]], most: int = PASSES) -> dict[tuple[int, int], int]:
+    """Which documents (size, uses so far) to use once more (1) or once less (-1) to come closest to ``left`` words more, step by step.
+
+    A step is one use more, one less, or both at once; it is the one that leaves least, and the first of equals.
+    """
+    steps: dict[tuple[int, int], int] = {}
+    while left:
+        free = sorted((size, k) for k, (size, uses) in docs.items() if k not in steps)
+        ups = [(size, k) for size, k in free if docs[k][1] < most]
+        sizes = [size for size, _ in ups]
+        best = (abs(left), ())
+        for gone, k in [(0, None), *((size, k) for size, k in free if docs[k][1] > 0)]:
+            if k is not None:
+                best = min(best, (abs(left + gone), ((k, -1),)), key=lambda x: x[0])
+            at = bisect.bisect_left(sizes, left + gone)
+            for size, up in ups[max(at - 2, 0) : at + 2]:
+                if up != k:
+                    best = min(best, (abs(left + gone - size), ((up, 1),) if k is None else ((up, 1), (k, -1))), key=lambda x: x[0])
+        if not best[1]:
             break
-    added = spark.createDataFrame([(c, n) for c, n in more], "a_class int, a_place bigint")
-    out = placed.join(hint_if_small(added, 200_000), (F.col("class") == F.col("a_class")) & (F.col("place") == F.col("a_place")), "left")
-    return out.select("key", "size", "source_size", "target", (F.col("size") * (F.col("uses") + F.col("a_class").isNotNull().cast("bigint"))).alias("taken"))
+        steps |= dict(best[1])
+        left -= sum(n * docs[k][0] for k, n in best[1])
+    return steps
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
