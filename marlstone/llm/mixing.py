@@ -38,6 +38,7 @@ SEED = 2024
 MOST_CELLS = 2_000_000
 #: Rounds in which what whole documents leave of quotas, or take beyond them, is made up for.
 ROUNDS = 2
+MOST_EXACT = 24
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = PASSES) -> list[float]:
@@ -144,8 +145,11 @@ def _taken(measured: DataFrame) -> DataFrame:
 def settle(left: int, docs: dict[tuple[int, int], tuple[int, int]], most: int = PASSES) -> dict[tuple[int, int], int]:
     """Which documents (size, uses so far) to use once more (1) or once less (-1) to come closest to ``left`` words more, step by step.
 
-    A step is one use more, one less, or both at once; it is the one that leaves least, and the first of equals.
+    A step is one use more, one less, or both at once; it is the one that leaves least, and the first of equals. Of a few
+    documents (MOST_EXACT) all sums are tried, so what is left is the least there is.
     """
+    if len(docs) <= MOST_EXACT:
+        return _closest(left, sorted(docs.items()), most)
     steps: dict[tuple[int, int], int] = {}
     while left:
         free = sorted((size, k) for k, (size, uses) in docs.items() if k not in steps)
@@ -166,6 +170,28 @@ def settle(left: int, docs: dict[tuple[int, int], tuple[int, int]], most: int =
     return steps
 
 
+def _closest(left: int, docs: list[tuple[tuple[int, int], tuple[int, int]]], most: int) -> dict[tuple[int, int], int]:
+    """All sums of one use more, one less or none of each document, as bits of an integer that stands for sums from ``low`` on."""
+    low = -sum(size for _, (size, uses) in docs if uses)
+    sums = [1 << -low]
+    for _, (size, uses) in docs:
+        now = sums[-1]
+        sums.append(now | (now << size if uses < most else 0) | (now >> size if uses else 0))
+    last = sums[-1]
+    above = last >> max(left - low, 0)
+    below = last & ((1 << max(left - low + 1, 0)) - 1)
+    found = ([max(left - low, 0) + (above & -above).bit_length() - 1] if above else []) + ([below.bit_length() - 1] if below else [])
+    at, steps = min(found, key=lambda x: abs(x + low - left)), {}
+    for (key, (size, uses)), before in zip(reversed(docs), reversed(sums[:-1])):
+        for n in (0, 1, -1):
+            if (n != 1 or uses < most) and (n != -1 or uses) and 0 <= at - n * size and before >> (at - n * size) & 1:
+                at -= n * size
+                if n:
+                    steps[key] = n
+                break
+    return steps
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
     """Per row: doc_id, size, source_size, target (its source's), taken."""
     return _taken(materialize(_measured(docs, doc_id, doc_id, text, source, seed), "measured")).withColumnRenamed("key", "doc_id")

@@ -50,13 +50,19 @@ def test_flow_of_many_uses():
 def test_settle():
     dice = random.Random(6)
     for _ in range(200):
-        docs = {(0, i): (dice.randint(1, 400), dice.randint(0, 2)) for i in range(12)}
+        docs = {(0, i): (dice.randint(1, 400), dice.randint(0, 2)) for i in range(dice.choice([1, 3, 12, 40]))}
         left = dice.randint(-500, 500)
         steps = mixing.settle(left, docs)
         assert all(0 <= docs[k][1] + n <= 2 and abs(n) == 1 for k, n in steps.items())
         after = left - sum(n * docs[k][0] for k, n in steps.items())
         pairs = [n * docs[k][0] for k in docs for n in (1, -1) if 0 <= docs[k][1] + n <= 2] + [docs[a][0] - docs[b][0] for a in docs for b in docs if a != b and docs[a][1] < 2 and docs[b][1] > 0]
         assert abs(after) <= min([abs(left), *(abs(left - x) for x in pairs)])
+    for _ in range(60):  # all sums of a few documents
+        docs = {(0, i): (dice.randint(1, 60), dice.randint(0, 2)) for i in range(5)}
+        left = dice.randint(-300, 300)
+        ways = itertools.product(*[[n for n in (-1, 0, 1) if 0 <= uses + n <= 2] for _, uses in docs.values()])
+        best = min(abs(left - sum(n * size for n, (size, _) in zip(w, docs.values()))) for w in ways)
+        assert abs(left - sum(n * docs[k][0] for k, n in mixing.settle(left, docs).items())) == best
     assert mixing.settle(0, {(0, 0): (5, 0)}) == {} and mixing.settle(7, {}) == {}
 
 
