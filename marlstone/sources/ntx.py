@@ -5,7 +5,9 @@ with it. The children of the root are partitions, each walked by a task of its o
 table's rows as a Column; ``build`` writes an index of them.
 
 A page holds a 16-bit count, a 16-bit place for each entry and one more, and entries of a child's offset, a record number
-and the key; the last entry has only a child. Keys are in ascending order, what is in a child goes before its entry.
+and the key; the last entry has only a child. Keys are in ascending order, what is in a child goes before its entry. Keys are
+Latin-1; a character beyond it stands as ``?``, so a prefix or an order is taken from an index only where it is ASCII. Rows with a
+null have blanks there. Equal keys go by record number. An empty table gives a tree of one empty page.
 """
 
 from __future__ import annotations

@@ -75,6 +75,12 @@ class Range(InputPartition):
     runs: tuple[tuple[int, int], ...] = ()
 
 
+def ranges(first: int, end: int, options: dict[str, str]) -> list[Range]:
+    """Records from ``first`` to before ``end``, some for each task."""
+    step = int(options.get("partition_records", 1_000_000))
+    return [Range(i, min(i + step, end)) for i in range(first, end, step)] or [Range(1, 1)]
+
+
 class XBaseSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -91,6 +97,11 @@ class XBaseSource(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return XBaseReader(dict(self.options), schema, self._header())
 
+    def streamReader(self, schema: T.StructType):
+        from ..streaming import Appended
+
+        return Appended(dict(self.options), schema)
+
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
         return XBaseWriter(dict(self.options), schema, overwrite)
 
@@ -116,7 +127,6 @@ class XBaseReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[Range]:
-        step = int(self.options.get("partition_records", 1_000_000))
         if self.listed is not None:  # runs of records that are asked for one by one, close ones together
             runs: list[list[int]] = []
             for n in sorted(x for x in self.listed if self.first <= x < self.end):
@@ -125,7 +135,7 @@ class XBaseReader(DataSourceReader):
                 else:
                     runs.append([n, n + 1])
             return [Range(0, 0, tuple(map(tuple, runs[i : i + CHUNK]))) for i in range(0, len(runs), CHUNK)] or [Range(1, 1)]
-        return [Range(i, min(i + step, self.end)) for i in range(self.first, self.end, step)] or [Range(1, 1)]
+        return ranges(self.first, self.end, self.options)
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         h, opt = self.header, self.options
