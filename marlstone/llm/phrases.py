@@ -243,7 +243,15 @@ def occurrences(parts: DataFrame, known: DataFrame, shard_chars: int = SHARD_CHA
                     continue
                 if shard is None:
                     shard, held = automaton(held), set()
-                out += [(copy, a + i, a + j) for i, j in locate(shard, line)]
+                hits = sorted(locate(shard, line))
+                while hits:  # a segment's passages overlap
+                    first, end = hits[0]
+                    k = 1
+                    while k < len(hits) and hits[k][0] <= end:
+                        end = max(end, hits[k][1])
+                        k += 1
+                    out.append((copy, a + first, a + end))
+                    hits = hits[k:]
             copies, first, end = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(copies, pa.binary()), pa.array(first, pa.int32()), pa.array(end, pa.int32())], names=["copy", "first", "end"])
 
