@@ -119,9 +119,7 @@ def aggregate(name: str, c: Column, distinct: bool, kind: T.DataType) -> Column:
     """COUNT, SUM, AVG, MIN and MAX of what is not blank; SUM and AVG of integers are integers."""
     if not isinstance(kind, T.StringType) and (name in ("COUNT", "MIN", "MAX") or isinstance(kind, T.NumericType)):
         return _plain_aggregate(name, c, distinct, isinstance(kind, T.IntegralType))
-    v = present(c)
-    if distinct:
-        v = F.when(v.isNotNull(), strip(v))
+    v = F.nullif(strip(c), F.lit("")) if distinct else present(c)
     if name == "COUNT":
         return F.count_distinct(v) if distinct else F.count(v)
     if name in ("MIN", "MAX"):

@@ -356,7 +356,8 @@ def _grouped(query: dict, s: Scope, items, labels, order):
     first = (lambda c: F.min_by(F.struct(c.alias("v")), F.struct(*places))["v"]) if places else F.first  # of the first record
     aggs = [s(c).alias(f"a{i}") for i, c in enumerate(calls)] + [first(s(c)).alias(f"f{i}") for i, c in enumerate(loose)]
     if s.mode == "xbase":
-        aggs += [first(c).alias(f"s{k}") for (k, c), g in zip(keys, group) if s._texts(g)]
+        shown = first if places else lambda c: F.array_min(F.collect_set(c))  # of the few ways to write a key; a table without places has no first
+        aggs += [shown(c).alias(f"s{k}") for (k, c), g in zip(keys, group) if s._texts(g)]
     df = s.df.groupBy(*by).agg(*(aggs or [F.count(F.lit(1)).alias("a_")])) if group else s.df.agg(*(aggs or [F.count(F.lit(1)).alias("a_")]))
     shown = {k: f"s{k}" if f"s{k}" in df.columns else k for k, _ in keys}
     s.done = {g: F.col(shown[k]) for (k, _), g in zip(keys, group)} | {c: F.col(f"a{i}") for i, c in enumerate(calls)} | {c: F.col(f"f{i}") for i, c in enumerate(loose)}
