@@ -207,3 +207,16 @@ def test_recall_counts_the_radius():
 def test_signature_is_deterministic():
     h = simhash.shingle_hashes("a b c d e f g h", 5)
     assert simhash.signature(h).tobytes() == simhash.signature(np.array(h)).tobytes() and len(simhash.signature(h).tobytes()) == 32
+
+
+def test_heaps_of_copies_and_long_texts(spark):
+    """A third of all rows in one group of copies, one of near copies, and texts of a hundred thousand words."""
+    dice = random.Random(2)
+    base = [f"t{dice.randrange(5000)}" for _ in range(300)]
+    near = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(150)]
+    long = " ".join(f"w{i}" for i in range(100_000))
+    texts = ["hot text of the corpus again and again"] * 300 + near + [long, long + " end", "other " + long[::-1]] + [f"single {i} " + " ".join(str(dice.random()) for _ in range(20)) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == {0, 300, 450, 452, *range(453, 653)}
+    got = {r.doc_id: r.component_id for r in simhash.groups(docs).collect()}
+    assert all(got[i] == 0 for i in range(300)) and got[450] == got[451] == 450 and all(got[i] == i for i in range(453, 653))
