@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import itertools
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import importable  # noqa: F401  operators take it from here
+
 #: The white space between words, as Java and Python patterns read it.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -64,13 +64,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers find this package where only the driver's own path has it, as in local runs from elsewhere."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is configured."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
