@@ -31,11 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hint_if_light, importable, materialize
+from .shared import hint_if_light, importable, materialize, tidy
 
 WINDOW = 35
 ANCHOR = 6
-SHARD_CHARS = 1_000_000
+SHARD_CHARS = 500_000
 #: Segments that an automaton scans before another task takes the rest.
 SLICE = 50_000
 LONG_WORD = 48
@@ -289,7 +289,11 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_c
     whole = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.unhex(F.md5(whole)).alias("copy"))
     parts = segments(texts, kind)
-    places = occurrences(parts, passages(parts), shard_chars, slice_).withColumnRenamed("copy", "p_copy")
+    tidy(docs.sparkSession)
+    known = passages(parts)
+    tidy(docs.sparkSession)
+    places = occurrences(parts, known, shard_chars, slice_).withColumnRenamed("copy", "p_copy")
+    tidy(docs.sparkSession)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):

@@ -121,6 +121,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what has been written by now, which it does when the driver collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def hint_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if its rows, counted here, are within the bound; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
